@@ -226,7 +226,9 @@ def sentence_counts(spark, sf):
 
 @query(None)
 def candidate_spans(spark, sf):
-    cuts = _notes(spark, sf).select("note_id", "note_text", S.sentences(F.col("note_text")).alias("cuts"), F.explode(S.matches(F.col("note_text"), S.phrase_pattern([t for t, _ in LEXICON]))).alias("m"))
+    # sentences are cut once for each note, below the step that makes a row for each match
+    notes = _notes(spark, sf).select("note_id", "note_text", S.sentences(F.col("note_text")).alias("cuts"))
+    cuts = notes.select("note_id", "note_text", "cuts", F.explode(S.matches(F.col("note_text"), S.phrase_pattern([t for t, _ in LEXICON]))).alias("m"))
     span = S.span_text(F.col("note_text"), F.col("cuts"), F.col("m.begin"), F.col("m.end"))
     h = cuts.select("note_id", _category(F.col("m.match")).alias("category"), F.col("m.match").alias("match"), F.col("m.begin").cast("long").alias("span_begin"), span.alias("span")).where("length(span) > 15")
     return R.keep_first(h, ["note_id", "span", "category"], F.col("span_begin")).select("note_id", "category", "match", "span_begin", "span")
