@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import lower_words, mix64, stash
@@ -142,6 +142,24 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return out.view(np.int64)
 
 
+BITS = 1024
+
+
+def bit_sets(doc: np.ndarray, shingle: np.ndarray, n_docs: int) -> np.ndarray:
+    """For each document the 1024-bit set of its shingles' hashes, as 16 longs: a bit that only one of two documents
+    has is a shingle that the other lacks."""
+    has = np.zeros((n_docs, BITS), bool)
+    has[doc, (shingle % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(has, axis=1, bitorder="little").view(np.int64)
+
+
+def may_reach(a: str, b: str, threshold: float = THRESHOLD) -> Column:
+    """Whether the bound that weights and bit sets put on two documents' similarity reaches the threshold."""
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"b{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"b{y}")[k]))) for k in range(BITS // 64)), F.lit(0))
+    most = F.least(F.col(f"n{a}") - lacks(a, b), F.col(f"n{b}") - lacks(b, a))
+    return most >= (threshold - 1e-9) * (F.col(f"n{a}") + F.col(f"n{b}") - most)
+
+
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two bags given as sorted shingles and counts."""
     i = np.searchsorted(b[0], a[0])
@@ -161,7 +179,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = [word_hashes(w) for w in words]
             doc, h, n = shingle_bags(docs)
             keys = band_keys(bag_signatures(doc, h, n, len(docs)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array([k.tolist() if s else [] for k, s in zip(keys, same)], pa.list_(pa.int64()))], names=["id", "same", "bands"])
+            total = np.bincount(doc, n, len(docs)).astype(np.int64)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array([k.tolist() if s else [] for k, s in zip(keys, same)], longs), pa.array(total), pa.array(list(bit_sets(doc, h, len(docs))), longs)], names=["id", "same", "bands", "total", "bits"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +220,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     One pass over the texts gives each row the digest of its words and its band keys; copies meet by digest. In
     each band a text is paired with the bucket's smallest one and the pair verified on the whole bags: as many
     pairs as rows, however large the bucket. Buckets that then still hold several classes are settled exactly: all
-    pairs of their texts across classes are verified too. Pairs within a class cannot change it and are left out.
+    pairs of their texts across classes are verified too, but for those that a bound from weights and bit sets rules
+    out inside the join. Pairs within a class cannot change it and are left out.
     """
-    signed = stash(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sign, "id long, same binary, bands array<long>"), "op4-signed")
+    signed = stash(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sign, "id long, same binary, bands array<long>, total long, bits array<long>"), "op4-signed")
     usable = signed.where("id is not null and same is not null")
-    firsts = usable.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    firsts = usable.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bands", "total", "bits")])
     firsts = stash(firsts, "op4-distinct")
     copies = usable.join(firsts.where("n > 1").select("same", "first"), "same").select(F.col("id").alias("u"), F.col("first").alias("v"))
     banded = firsts.select(F.col("first").alias("id"), F.explode("bands").alias("band"))
@@ -218,8 +239,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classed = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).select("band", "id", "class")
     mixed = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
     open_ = stash(classed.join(mixed, "band"), "op4-open")
-    left, right = open_.select("band", F.col("id").alias("u"), F.col("class").alias("cu")), open_.select("band", F.col("id").alias("v"), F.col("class").alias("cv"))
-    rest = left.join(right, "band").where("cu < cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    bounds = firsts.select(F.col("first").alias("id"), "total", "bits", "bands")
+    of = open_.join(bounds, "id")
+    side = lambda x: of.select("band", F.col("id").alias(x), F.col("class").alias(f"c{x}"), F.col("total").alias(f"n{x}"), F.col("bits").alias(f"b{x}"), F.col("bands").alias(f"s{x}"))
+    # of the buckets that two texts share, only the first makes the pair
+    once = F.array_min(F.array_intersect("su", "sv")) == F.col("band")
+    rest = side("u").join(side("v"), "band").where((F.col("cu") < F.col("cv")) & may_reach("u", "v") & once).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     tried = buckets.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
     more = stash(_linked(rest.join(tried, ["u", "v"], "left_anti"), texts), "op4-more")
     comp = components(stars.unionByName(more).unionByName(copies))

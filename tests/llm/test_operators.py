@@ -210,6 +210,21 @@ def test_near_duplicates_of_the_table(spark, sf):
     assert got == brute_classes([(r["doc_id"], r["text"]) for r in d.collect()])
 
 
+def test_bounds_hold(spark):
+    rng = np.random.default_rng(15)
+    bags = []
+    for k in range(40):
+        keys = rng.choice(4000, int(rng.integers(5, 900)), replace=False) if k % 2 or not bags else np.array([*list(bags[-1])[int(rng.integers(0, 40)) :], *rng.choice(4000, 9)])
+        bags.append({int(x): int(rng.integers(1, 4)) if k % 2 else bags[-1].get(int(x), 1) if bags else 1 for x in keys})
+    h = lambda ks: bagminhash.mix64(np.array(ks, np.uint64))
+    bits = np.concatenate([bagminhash.bit_sets(np.zeros(len(b), np.int64), h(list(b)), 1) for b in bags]).tolist()
+    rows = [(i, sum(b.values()), x) for i, (b, x) in enumerate(zip(bags, bits))]
+    side = lambda x: spark.createDataFrame(rows, f"{x} long, n{x} long, b{x} array<long>")
+    got = {(r["u"], r["v"]) for r in side("u").crossJoin(side("v")).where(bagminhash.may_reach("u", "v")).collect()}
+    true = {(i, j) for i, a in enumerate(bags) for j, b in enumerate(bags) if similar(collections.Counter(a), collections.Counter(b)) >= 0.8}
+    assert true <= got and len(got) < 40 * 40 / 2
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(6)
     for _ in range(4):
