@@ -153,11 +153,23 @@ def bit_sets(doc: np.ndarray, shingle: np.ndarray, n_docs: int) -> np.ndarray:
     return np.packbits(has, axis=1, bitorder="little").view(np.int64)
 
 
-def may_reach(a: str, b: str, threshold: float = THRESHOLD) -> Column:
-    """Whether the bound that weights and bit sets put on two documents' similarity reaches the threshold."""
-    lacks = lambda x, y: sum((F.bit_count(F.col(f"b{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"b{y}")[k]))) for k in range(BITS // 64)), F.lit(0))
-    most = F.least(F.col(f"n{a}") - lacks(a, b), F.col(f"n{b}") - lacks(b, a))
-    return most >= (threshold - 1e-9) * (F.col(f"n{a}") + F.col(f"n{b}") - most)
+def spare(total: Column, bits: Column) -> Column:
+    """How many of a document's shingle occurrences its bit set does not count: at most so many, beside the bits in
+    common, can it share with another."""
+    return total - sum((F.bit_count(bits[k]) for k in range(BITS // 64)), F.lit(0))
+
+
+def may_reach(a: str, b: str, threshold: float = THRESHOLD, spares: tuple[Column, Column] | None = None) -> Column:
+    """Whether the bound that weights and bit sets put on two documents' similarity reaches the threshold.
+
+    No more occurrences are in common than the common bits and the smaller spare number. A join gives the spare
+    numbers as columns of its sides and each bit set is named once: a longer condition makes code that the JVM
+    leaves interpreted.
+    """
+    ra, rb = spares or (spare(F.col(f"n{x}"), F.col(f"b{x}")) for x in (a, b))
+    least = (threshold - 1e-9) / (1 + threshold - 1e-9)
+    common = sum((F.bit_count(F.col(f"b{a}")[k].bitwiseAND(F.col(f"b{b}")[k])) for k in range(BITS // 64)), F.lit(0))
+    return common + F.least(ra, rb) >= least * (F.col(f"n{a}") + F.col(f"n{b}"))
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -239,12 +251,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classed = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).select("band", "id", "class")
     mixed = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
     open_ = stash(classed.join(mixed, "band"), "op4-open")
-    bounds = firsts.select(F.col("first").alias("id"), "total", "bits", "bands")
+    bounds = firsts.select(F.col("first").alias("id"), "total", "bits", "bands", spare(F.col("total"), F.col("bits")).alias("spare"))
     of = open_.join(bounds, "id")
-    side = lambda x: of.select("band", F.col("id").alias(x), F.col("class").alias(f"c{x}"), F.col("total").alias(f"n{x}"), F.col("bits").alias(f"b{x}"), F.col("bands").alias(f"s{x}"))
+    side = lambda x: of.select("band", F.col("id").alias(x), F.col("class").alias(f"c{x}"), F.col("total").alias(f"n{x}"), F.col("spare").alias(f"r{x}"), F.col("bits").alias(f"b{x}"), F.col("bands").alias(f"s{x}"))
     # of the buckets that two texts share, only the first makes the pair
     once = F.array_min(F.array_intersect("su", "sv")) == F.col("band")
-    rest = side("u").join(side("v"), "band").where((F.col("cu") < F.col("cv")) & may_reach("u", "v") & once).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rest = side("u").join(side("v"), "band").where((F.col("cu") < F.col("cv")) & may_reach("u", "v", spares=(F.col("ru"), F.col("rv"))) & once).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     tried = buckets.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
     more = stash(_linked(rest.join(tried, ["u", "v"], "left_anti"), texts), "op4-more")
     comp = components(stars.unionByName(more).unionByName(copies))
