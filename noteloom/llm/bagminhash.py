@@ -163,8 +163,7 @@ def may_reach(a: str, b: str, threshold: float = THRESHOLD, spares: tuple[Column
     """Whether the bound that weights and bit sets put on two documents' similarity reaches the threshold.
 
     No more occurrences are in common than the common bits and the smaller spare number. A join gives the spare
-    numbers as columns of its sides and each bit set is named once: a longer condition makes code that the JVM
-    leaves interpreted.
+    numbers as columns of its sides and each bit set is named once, which keeps the condition's code short.
     """
     ra, rb = spares or (spare(F.col(f"n{x}"), F.col(f"b{x}")) for x in (a, b))
     least = (threshold - 1e-9) / (1 + threshold - 1e-9)
