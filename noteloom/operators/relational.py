@@ -174,8 +174,8 @@ def char_grams(c: Column) -> Column:
     return F.concat(grams(3), grams(4))
 
 
-def tfidf_best(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
-    """The concept of largest TF-IDF cosine over character grams for each distinct mention; ties to the smaller label.
+def tfidf_scores(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(mention, label, score): positive TF-IDF cosines over character grams of distinct mentions and concepts.
 
     idf = ln((1 + N) / (1 + df)) + 1 over the concepts, 1 for grams they lack. Only pairs with a common gram meet.
     """
@@ -188,5 +188,10 @@ def tfidf_best(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
     mw = mg.join(idf, "gram", "left").withColumn("mw", F.col("mtf") * F.coalesce("idf", F.lit(1.0)))
     mn = mw.groupBy("mention").agg(F.sqrt(F.sum(F.col("mw") * F.col("mw"))).alias("mn"))
     dots = mw.join(cw.select("label", "gram", "w"), "gram").groupBy("mention", "label").agg(F.sum(F.col("mw") * F.col("w")).alias("dot"))
-    scored = dots.join(cn, "label").join(mn, "mention").withColumn("score", F.col("dot") / (F.col("mn") * F.col("cn"))).where("score > 0")
-    return scored.groupBy("mention").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "label")).alias("b")).select("mention", "b.label", (-F.col("b.s")).alias("score"))
+    return dots.join(cn, "label").join(mn, "mention").select("mention", "label", (F.col("dot") / (F.col("mn") * F.col("cn"))).alias("score")).where("score > 0")
+
+
+def tfidf_best(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
+    """The concept of largest score for each mention; ties to the smaller label."""
+    best = tfidf_scores(mentions, concepts).groupBy("mention").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "label")).alias("b"))
+    return best.select("mention", "b.label", (-F.col("b.s")).alias("score"))
