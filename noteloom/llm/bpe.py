@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Unicode's White_Space, which the tokenizer's own library takes for \s; the regex module adds \x1c-\x1f.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MEMO = 300_000
+#: Rows whose ids a worker holds before it hands them on.
+ROWS_AT_ONCE = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -224,24 +227,28 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str =
     ranks = load_ranks(vocabulary)
     shared = spark.sparkContext.broadcast((ranks, split_table(ranks)))
 
+    def encoded(codec: TextCodec, b: pa.RecordBatch) -> pa.RecordBatch:
+        n, sha, back, ids = [], [], [], []
+        for text in b.column(b.num_columns - 1):
+            text = text.as_py()
+            s = codec.encode(text) if text else ""
+            n.append(s.count(" ") + 1 if s else 0)
+            sha.append(hashlib.sha256(s.encode()).hexdigest())
+            back.append(hashlib.sha256(codec.decode(s)).hexdigest())
+            if with_ids:
+                ids.append(np.fromiter(map(int, s.split(" ")) if s else (), np.int32))
+        cols = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+        names = [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            cols.append(pa.array(ids, pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
-        for b in batches:
-            n, sha, back, ids = [], [], [], []
-            for text in b.column(b.num_columns - 1):
-                text = text.as_py()
-                s = codec.encode(text) if text else ""
-                n.append(s.count(" ") + 1 if s else 0)
-                sha.append(hashlib.sha256(s.encode()).hexdigest())
-                back.append(hashlib.sha256(codec.decode(s)).hexdigest())
-                if with_ids:
-                    ids.append([int(x) for x in s.split(" ")] if s else [])
-            cols = [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
-            names = [*b.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        for big in batches:
+            for at in range(0, big.num_rows, ROWS_AT_ONCE):
+                yield encoded(codec, big.slice(at, ROWS_AT_ONCE))
 
     first = df.select(id_col, *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
