@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 from noteloom.llm.common import lower_words, stash
 from noteloom.llm.gru_lid import remainder
 
-#: The most frequent words are units of the clustering by themselves, all others in groups by their last bytes.
-OWN_UNITS, GROUPS, CLASSES, PASSES = 1000, 152, 48, 6
+#: Words that occur so often are units of the clustering by themselves, however many they are; all others go in groups by
+#: their last bytes. The OWN_UNITS most frequent are exchanged one by one on the driver, the other ones in rounds in Spark.
+OWN_COUNT, OWN_UNITS, GROUPS, CLASSES = 10, 1000, 152, 48
+#: Rounds over the text's bigrams end when a sweep over all words gains no more than TOLERANCE nats a token (or PASSES are over, if set).
+TOLERANCE, PASSES = 1e-4, None
 #: Words whose counts every executor gets; the counts of all others meet their texts in a join.
 BROADCAST_WORDS = 200_000
 KAPPA, BETA = 5.0, 0.5
@@ -28,25 +33,32 @@ def group_of(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % GROUPS
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), np.uint64)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(n: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
+def exchange(n: np.ndarray, classes: int = CLASSES, passes: int | None = None, start: np.ndarray | None = None, still: int = 0) -> np.ndarray:
     """Classes of units from their bigram counts n[left, right]: each unit in turn moves to the class that raises the
-    likelihood of the class bigram model most, until a pass moves none. Frequent units go first; ties keep or take
-    the smaller class."""
+    likelihood of the class bigram model most, until a pass moves none (or passes are over). Frequent units go first;
+    ties keep or take the smaller class. The last still units stay where start has them."""
     units = len(n)
     freq = n.sum(axis=1) + n.sum(axis=0)
     order = np.argsort(-freq, kind="stable")
     own = np.empty(units, np.int64)
     own[order] = np.arange(units) % classes
+    if start is not None:
+        own[:] = start
+    order = order[order < units - still]
     one = np.eye(classes)
     a = np.zeros((classes, classes))
     np.add.at(a, (own[:, None], own[None, :]), n)
     left, right = n.sum(axis=1), n.sum(axis=0)
     cl, cr = one[own].T @ left, one[own].T @ right
-    for _ in range(passes):
+    for _ in itertools.count() if passes is None else range(passes):
         moved = 0
         for u in order:
             if not freq[u]:
@@ -82,25 +94,39 @@ def exchange(n: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.
     return own
 
 
+def likelihood(a: np.ndarray) -> float:
+    """What the classes decide of the log likelihood, from class bigram counts."""
+    return float(_xlogx(a).sum() - _xlogx(a.sum(axis=0)).sum() - _xlogx(a.sum(axis=1)).sum())
+
+
 @dataclass
 class Model:
-    """What scoring needs besides the counts of rare words: all of bounded size."""
+    """What scoring needs besides the counts of rare words. Units: 0 the end, then groups, words, and far words."""
 
     word: dict[bytes, int]  # frequent words to rows of count and unit
     count: np.ndarray
     unit: np.ndarray
+    far: np.ndarray  # sorted hashes of the other words that are units by themselves
     n_tokens: int
     n_types: int
-    step: np.ndarray | None = None  # log10 P(class | class before), by unit
-    lost: np.ndarray | None = None  # log10 of the emission's divisor, by unit
+    classes: np.ndarray | None = None  # by unit
+    step: np.ndarray | None = None  # log10 P(class | class before)
+    lost: np.ndarray | None = None  # log10 of the emission's divisor, by class
 
     def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(row of each word or -1, unit of each word)."""
         get = self.word.get
         rows = np.array([get(w, -1) for w in words], dtype=np.int64)
         units = self.unit[rows] if len(self.unit) else np.zeros(len(rows), np.int64)
-        for i in np.nonzero(rows < 0)[0]:
-            units[i] = 1 + OWN_UNITS + group_of(words[i])
+        at = np.nonzero(rows < 0)[0]
+        if len(at):
+            rare = [words[i] for i in at]
+            units[at] = [1 + group_of(w) for w in rare]
+            if len(self.far):
+                h = hashes(rare)
+                k = np.minimum(np.searchsorted(self.far, h), len(self.far) - 1)
+                hit = self.far[k] == h
+                units[at[hit]] = 1 + GROUPS + len(self.unit) + k[hit]
         return rows, units
 
 
@@ -126,80 +152,200 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(text_col).mapInArrow(_count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model of the texts given, and the table of all word counts."""
-    spark = train.sparkSession
-    counts = stash(word_counts(train, text_col), "op8-counts")
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.col("n").desc(), "w").limit(BROADCAST_WORDS).collect()
-    word, unit = {}, np.zeros(len(top), np.int64)
-    own = 0
-    for i, r in enumerate(top):
-        w = bytes(r["w"])
-        word[w] = i
-        if w == END:
-            unit[i] = 0
-        elif own < OWN_UNITS:
-            own += 1
-            unit[i] = own
-        else:
-            unit[i] = 1 + OWN_UNITS + group_of(w)
-    model = Model(word, np.array([r["n"] for r in top], np.int64), unit, int(total["n"] or 0), int(total["v"] or 0))
-    size = 1 + OWN_UNITS + GROUPS
-    shared = spark.sparkContext.broadcast(model)
+def _far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = b.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(hashes(words).view(np.int64)), pa.array([group_of(w) for w in words], pa.int16())], names=["h", "g"])
+
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, dense, held, rows = shared.value, np.zeros(size * size, np.int64), [], 0
+def _bigrams(shared):
+    """Texts to (l, r, n) of units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
 
-        def settle() -> None:
-            nonlocal rows
-            if held:
-                dense[:] += np.bincount(np.concatenate(held), minlength=size * size)
+        def out() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            rows = 0
+            return pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["l", "r", "n"])
 
         for b in batches:
             for text in b.column(0):
-                _, u = m.units(lower_words(text.as_py()))
+                _, u = shared.value.units(lower_words(text.as_py()))
                 u = np.concatenate([[0], u, [0]])  # a text begins and ends at the same border
-                held.append(u[:-1] * size + u[1:])
+                held.append(u[:-1] << 32 | u[1:])
                 rows += len(u)
-                if rows > 2_000_000:
-                    settle()
-        settle()
+                if rows > 4_000_000:
+                    yield out()
+                    rows = 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _cells(grams: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """Bigram counts of units that are put together, size x size."""
+    shared = grams.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(size * size)
+        for b in batches:
+            l, r, n = (c.to_numpy() for c in b.columns)
+            cell = shared.value[l].astype(np.int64) * size + shared.value[r]
+            if len(cell) * 8 > size * size:
+                dense += np.bincount(cell, n, size * size)
+            else:
+                np.add.at(dense, cell, n)
         cell = np.nonzero(dense)[0]
         for at in range(0, len(cell), 100_000):
             c = cell[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(dense[c])], names=["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(dense[c].astype(np.int64))], names=["cell", "n"])
 
-    got = train.select(text_col).mapInArrow(pairs, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
+    got = grams.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
+    shared.unpersist()
     n = np.zeros(size * size)
     n[got["cell"].to_numpy()] = got["n"].to_numpy()
-    n = n.reshape(size, size)
-    classes = exchange(n)
-    one = np.eye(CLASSES)[classes]
-    a = one.T @ n @ one
+    return n.reshape(size, size)
+
+
+def _contexts(grams: DataFrame, first: int) -> DataFrame:
+    """(w, o, n) of every unit from first on: its neighbours as 2 * unit + (1 where it comes before), and their counts."""
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            l, r, n = (c.to_numpy() for c in b.columns)
+            w, o, n = np.concatenate([l, r]), np.concatenate([r * 2, l * 2 + 1]), np.concatenate([n, n])
+            keep = w >= first
+            yield pa.RecordBatch.from_arrays([pa.array(w[keep]), pa.array(o[keep]), pa.array(n[keep])], names=["w", "o", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
+        if not got:
+            return
+        w, o, n = (np.concatenate(c) for c in zip(*got))
+        order = np.argsort(w, kind="stable")
+        w, o, n = w[order], o[order], n[order]
+        at = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1, [len(w)]])
+        for k in range(0, len(at) - 1, 2000):
+            cut = at[k : k + 2001]
+            part, ends = slice(cut[0], cut[-1]), pa.array((cut - cut[0]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(w[cut[:-1]]), pa.ListArray.from_arrays(ends, pa.array(o[part])), pa.ListArray.from_arrays(ends, pa.array(n[part]))], names=["w", "o", "n"])
+
+    flat = grams.mapInArrow(turn, "w int, o int, n long").repartition("w")
+    return flat.mapInArrow(pack, "w int, o array<int>, n array<bigint>")
+
+
+def _moves(contexts: DataFrame, classes: np.ndarray, a: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(units, classes) of half of the units that fit another class better, by their own contexts' classes."""
+    fit = np.log(a + BETA)
+    row, col = np.log(a.sum(axis=1) + BETA * CLASSES), np.log(a.sum(axis=0) + BETA * CLASSES)
+    shared = contexts.sparkSession.sparkContext.broadcast((classes, fit, row, col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, fit, row, col = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w, o, n = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            at = np.repeat(np.arange(len(w)), b.column(1).value_lengths().to_numpy())
+            m = np.bincount(at * (2 * CLASSES) + (o & 1) * CLASSES + own[o >> 1], n, len(w) * 2 * CLASSES).reshape(len(w), 2 * CLASSES)
+            after, before = m[:, :CLASSES], m[:, CLASSES:]
+            gain = after @ fit.T + before @ fit - after.sum(axis=1)[:, None] * row - before.sum(axis=1)[:, None] * col
+            k = gain.argmax(axis=1)
+            i = np.arange(len(w))
+            go = (gain[i, k] > gain[i, own[w]] + 1e-6) & ((w.astype(np.int64) * 2654435761 >> 16) % 2 == half)
+            yield pa.RecordBatch.from_arrays([pa.array(w[go]), pa.array(k[go].astype(np.int16))], names=["w", "k"])
+
+    got = contexts.mapInArrow(run, "w int, k short").toArrow()
+    shared.unpersist()
+    return got["w"].to_numpy(), got["k"].to_numpy()
+
+
+def cluster(grams: DataFrame, suffix: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class bigram counts). Units before first are exchanged one by one; the others start with
+    their suffix's group, then move in rounds by the classes of all their own neighbours, half of them at a time, until
+    a sweep gains no more than TOLERANCE; then the first ones are exchanged again."""
+    size = first
+    got = exchange(_cells(grams, suffix, size))
+    classes = got[suffix].astype(np.uint8)
+    a = _cells(grams, classes, CLASSES)
+    if len(suffix) > first:
+        contexts = stash(_contexts(grams, first), "op8-contexts")
+        tokens, best, before = max(a.sum(), 1), likelihood(a), -np.inf
+        for k in itertools.count() if PASSES is None else range(2 * PASSES):
+            if k % 2 == 0:
+                if best - before <= TOLERANCE * tokens:
+                    break
+                before = best
+            w, to = _moves(contexts, classes, a, k % 2)
+            if not len(w):
+                continue
+            new = classes.copy()
+            new[w] = to
+            b = _cells(grams, new, CLASSES)
+            if likelihood(b) > best:
+                classes, a, best = new, b, likelihood(b)
+        of = np.arange(len(suffix), dtype=np.int32)
+        of[first:] = size + classes[first:].astype(np.int32)
+        n = _cells(grams, of, size + CLASSES)
+        got = exchange(n, start=np.concatenate([classes[:first], np.arange(CLASSES)]), still=CLASSES)
+        classes[:first] = got[:first]
+        one = np.eye(CLASSES)[got]
+        a = one.T @ n @ one
+    return classes, a
+
+
+def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model of the texts given, and the table of all word counts."""
+    spark = train.sparkSession
+    counts = stash(word_counts(train, text_col), "op8-counts")
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    ranked = counts.orderBy(F.col("n").desc(), "w").limit(BROADCAST_WORDS).toArrow()
+    top, count = ranked["w"].to_pylist(), ranked["n"].to_numpy().astype(np.int64)
+    word = {w: i for i, w in enumerate(top)}
+    group = np.array([group_of(w) for w in top], np.int32)
+    unit = np.where(count >= OWN_COUNT, 1 + GROUPS + np.arange(len(top)), 1 + group).astype(np.int64)
+    if END in word:
+        unit[word[END]] = 0
+    far = np.zeros(0, np.uint64)
+    suffix = [np.arange(1 + GROUPS, dtype=np.int32), 1 + group]
+    if len(top) == BROADCAST_WORDS and count[-1] >= OWN_COUNT:
+        last = F.lit(top[-1])
+        rest = counts.where((F.col("n") >= OWN_COUNT) & ((F.col("n") < int(count[-1])) | (F.col("n") == int(count[-1])) & (F.col("w") > last)))
+        got = rest.select("w").mapInArrow(_far, "h long, g short").toArrow()
+        h, at = np.unique(got["h"].to_numpy().view(np.uint64), return_index=True)
+        far = h
+        suffix.append(1 + got["g"].to_numpy()[at].astype(np.int32))
+    suffix = np.concatenate(suffix)
+    alone = min(OWN_UNITS + 1, len(top), int((count >= OWN_COUNT).sum()))
+    first = 1 + GROUPS + alone
+    suffix[1 + GROUPS : first] = np.arange(1 + GROUPS, first)
+    model = Model(word, count, unit, far, int(total["n"] or 0), int(total["v"] or 0))
+    shared = spark.sparkContext.broadcast(model)
+    grams = train.select(text_col).mapInArrow(_bigrams(shared), "l int, r int, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
+    grams = stash(grams, "op8-bigrams")
+    model.classes, a = cluster(grams, suffix, first)
     prior = (a.sum(axis=0) + 1) / (a.sum() + CLASSES)
-    step = np.log10((a + KAPPA * prior) / (a.sum(axis=1, keepdims=True) + KAPPA))
-    # distinct words of each unit, over the whole table
-    types = counts.select(F.col("w")).mapInArrow(_types(shared, size), "u int, v long").groupBy("u").agg(F.sum("v").alias("v")).collect()
-    v = np.zeros(size)
+    model.step = np.log10((a + KAPPA * prior) / (a.sum(axis=1, keepdims=True) + KAPPA))
+    # distinct words of each class, over the whole table
+    by_unit = spark.sparkContext.broadcast(model.classes)
+    types = counts.select(F.col("w")).mapInArrow(_types(shared, by_unit), "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    v = np.zeros(CLASSES)
     for r in types:
-        v[r["u"]] = r["v"]
-    per_class, mass = one.T @ v, a.sum(axis=0)
-    model.step = step[classes][:, classes]
-    model.lost = np.log10(mass + BETA * (per_class + 1))[classes]
+        v[r["k"]] = r["v"]
+    model.lost = np.log10(a.sum(axis=0) + BETA * (v + 1))
     return model, counts
 
 
-def _types(shared, size: int):
+def _types(shared, by_unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = np.zeros(size, np.int64)
+        v = np.zeros(CLASSES, np.int64)
         for b in batches:
             _, u = shared.value.units(b.column(0).to_pylist())
-            v += np.bincount(u, minlength=size)
+            v += np.bincount(by_unit.value[u], minlength=CLASSES)
         at = np.nonzero(v)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(v[at])], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(v[at])], names=["k", "v"])
 
     return run
 
@@ -213,8 +359,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     empty text's. Repeated rows are rows like any other; other columns are ignored; an empty table gives no rows,
     and without training rows counts are 0.
 
-    The model: exchange clustering gives every word a class, the most frequent words by themselves and all others
-    with their group; a text's probability is the product of class transitions, smoothed by the classes' shares,
+    The model: exchange clustering gives every word a class, all that occur OWN_COUNT times or more by themselves, from
+    the counts of their own contexts, and rarer ones with their group; a text's probability is the product of class transitions, smoothed by the classes' shares,
     and of a word's share in its class, smoothed for unseen words. All counts cover all training texts. Counts of
     the most frequent words go to every executor; those of all others come by an equi-join of the words that each
     text has, added to its sums.
@@ -236,7 +382,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
                 known = rows >= 0
                 r = rows[known]
                 base = log1[r].sum() - len(words) * whole
-                score = m.step[np.concatenate([[0], u[:-1]]), u].sum() + logb[r].sum() - m.lost[u].sum()
+                k = m.classes[np.concatenate([[0], u])]
+                score = m.step[k[:-1], k[1:]].sum() + logb[r].sum() - m.lost[k[1:]].sum()
                 rare = Counter([words[i] for i in np.nonzero(~known)[0]])
                 for c, x in zip(cols, (len(words), int(known.sum()), float(base), float(score), [{"w": w, "k": k} for w, k in rare.items()])):
                     c.append(x)

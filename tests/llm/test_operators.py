@@ -485,3 +485,16 @@ def test_cuts_follow_content():
 
 def test_queries_run(spark, sf):
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_rare_words_take_classes_of_their_own_contexts(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "OWN_UNITS", 12)
+    rng = np.random.default_rng(14)
+    noun, verb = [f"n{i}x" for i in range(60)], [f"v{i}x" for i in range(60)]
+    rows = [(i, " ".join(w for _ in range(12) for w in ("the", rng.choice(noun), "will", rng.choice(verb)))) for i in range(300)]
+    for few in (brown_lm.BROADCAST_WORDS, 30):
+        monkeypatch.setattr(brown_lm, "BROADCAST_WORDS", few)
+        model, _ = brown_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+        _, u = model.units([w.encode() for w in noun + verb])
+        k = model.classes[u]
+        assert len(set(u)) == 120 and not set(k[:60]) & set(k[60:])
