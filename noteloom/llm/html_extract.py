@@ -33,6 +33,8 @@ BOILER_WORDS = re.compile(
     re.I,
 )
 CONTAINERS = frozenset("article main section div td body center blockquote ul ol table tbody tr dl".split())
+#: Elements whose own text is likely an article's; text of others is from so many characters on.
+TEXT_TAGS, LONG_TEXT = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd figcaption td".split()), 80
 #: What an opening tag ends where it is left open.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th")}
 _SCOPE = frozenset("table ul ol dl div section article main aside nav header footer form body td th blockquote".split())
@@ -150,7 +152,7 @@ class Page:
             if self.boiler[node]:
                 continue
             worth, x = (len(text) - links) * (1 - links / len(text)), node
-            if self.tag[x] not in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "figcaption", "td"):
+            if self.tag[x] not in TEXT_TAGS:
                 worth *= 0.7
             while x > 0 and worth >= 1:
                 if self.tag[x] in CONTAINERS:
@@ -163,16 +165,52 @@ class Page:
         s = self.scores()
         return self.path[max(s, key=lambda k: (s[k], -k))] if s else None
 
+    def whole(self, chosen: list[bool]) -> set[int]:
+        """The chosen elements, each widened to its nearest article or main; without one, to each ancestor in turn as
+        long as what that adds is mostly text like an article's."""
+        added: dict[int, list[int]] = {}  # characters below each element that are not chosen, and those like an article's
+        for node, text, links in self.blocks:
+            if self.boiler[node] or chosen[node]:
+                continue
+            fits, x = 2 * links < len(text) and (self.tag[node] in TEXT_TAGS or len(text) >= LONG_TEXT), node
+            while x > 0:
+                s = added.setdefault(x, [0, 0])
+                s[0] += len(text)
+                s[1] += len(text) * fits
+                x = self.parent[x]
+        tops, seen = set(), set()
+        for x in range(1, len(self.tag)):
+            if not chosen[x] or chosen[self.parent[x]]:
+                continue
+            up = x
+            while up > 0 and self.tag[up] not in ("article", "main"):
+                up = self.parent[up]
+            if up > 0:
+                tops.add(up)
+                continue
+            top = x
+            while (up := self.parent[top]) > 0 and up not in seen:
+                (n, fits), (m, had) = added.get(up, (0, 0)), added.get(top, (0, 0))
+                if 2 * (fits - had) < n - m:
+                    break
+                seen.add(up)
+                top = up
+            tops.add(top)
+        return tops
+
     def text(self, path: str | None) -> str:
-        """Blocks below the elements of that path, boilerplate left out; without such, of the page's best container, then of all."""
+        """Blocks of the whole article around the elements of that path, boilerplate left out; without such, around the page's best container, then all."""
         for p in dict.fromkeys([path, self.best()]):
             if p is not None:
                 chosen = [q == p for q in self.path]
                 for i in range(1, len(chosen)):
                     chosen[i] = chosen[i] or chosen[self.parent[i]]
-                got = [t for n, t, _ in self.blocks if chosen[n] and not self.boiler[n]]
-                if got:
-                    return " ".join(got)
+                if not any(chosen[n] and not self.boiler[n] for n, _, _ in self.blocks):
+                    continue
+                tops = self.whole(chosen)
+                for i in range(1, len(chosen)):
+                    chosen[i] = i in tops or chosen[i] or chosen[self.parent[i]]
+                return " ".join(t for n, t, _ in self.blocks if chosen[n] and not self.boiler[n])
         return " ".join(t for n, t, _ in self.blocks if not self.boiler[n])
 
 
@@ -195,7 +233,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The main text of every page, from the element path that the pages of its host agree on.
+    """The main text of every page, from the element path that the pages of its host agree on: all of the article around it.
 
     Returns one row per input row: id, url, text (never null), n_chars (its code points). A null or empty page
     gives an empty text. Pages without a host use their own best container, as does a page without the winning

@@ -156,6 +156,20 @@ def test_pages(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_pages_keep_all_of_the_article():
+    long = "Words of the article, a sentence that is long enough. " * 8
+    body = f"<p>{long}</p>"
+    cases = [
+        (f"<article><h1>Title</h1><div class='body'>{body}</div></article>", f"Title {long}"),
+        (f"<main><h1>Title</h1><section class='a'>{body * 3}</section><section class='b'><p>Second part.</p></section></main>", f"Title {long * 3} Second part."),
+        (f"<article><p>Before the list.</p><ul><li>{long}</li><li>{long}</li></ul><p>After it.</p></article>", f"Before the list. {long * 2} After it."),
+        (f"<div class='post'><h1>Title</h1><div class='body'>{body}</div></div><div class='links'><a href=/a>Another page</a> <a href=/b>And one more</a></div>", f"Title {long}"),
+    ]
+    for source, want in cases:
+        page = html_extract.Page(f"<html><body><nav>Menu</nav>{source}<footer>End</footer></body></html>")
+        assert page.text(page.best()).split() == want.split(), source
+
+
 def test_pages_of_the_table(spark, sf):
     import html
 
