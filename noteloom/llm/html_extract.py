@@ -17,7 +17,7 @@ from noteloom.llm.common import stash
 BROADCAST_HOSTS = 100_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _DIGITS = re.compile(r"\d+")
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title noscript template iframe svg math object select xmp".split())
@@ -32,6 +32,11 @@ BOILER_WORDS = re.compile(
     r"popups?|modal|overlay|newsletter|subscri(?:be|ption)|signup|login|search|breadcrumbs?|pagination|pager|toolbar|skip-link|copyright)(?=$|[\s_-])",
     re.I,
 )
+#: Parts of class names that tell of a layout with or without something, not of the element itself.
+LAYOUT_WORDS = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-]\S*", re.I)
+#: Elements and roles that stay out even of a page whose text all lies in boilerplate.
+NEVER_TAGS = BOILER_TAGS - {"form", "fieldset"}
+NEVER_ROLES = BOILER_ROLES - {"form", "search"}
 CONTAINERS = frozenset("article main section div td body center blockquote ul ol table tbody tr dl".split())
 #: Elements whose own text is likely an article's; text of others is from so many characters on.
 TEXT_TAGS, LONG_TEXT = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd figcaption td".split()), 80
@@ -40,17 +45,25 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 _SCOPE = frozenset("table ul ol dl div section article main aside nav header footer form body td th blockquote".split())
 
 
+def _named(names: str) -> bool:
+    return bool(BOILER_WORDS.search(LAYOUT_WORDS.sub("", names)))
+
+
 class Page:
-    """Elements and text blocks of a page, in page order; tolerant of what is left open or cut off."""
+    """Elements and text blocks of a page, in page order; tolerant of what is left open or cut off. Where all text would
+    be boilerplate by class, id, hidden, form or header, only what lies in NEVER_TAGS and NEVER_ROLES is."""
 
     def __init__(self, source: str | None):
         self.parent: list[int] = [-1]
         self.tag: list[str] = [""]
         self.path: list[str] = [""]
         self.boiler: list[bool] = [False]
+        self.never: list[bool] = [False]
         self.blocks: list[tuple[int, str, int]] = []  # (element, text, characters in links)
         if source:
             self._parse(source)
+            if all(self.boiler[n] for n, _, _ in self.blocks):
+                self.boiler = self.never
 
     def _parse(self, source: str) -> None:
         stack, buffer, owner, at, end = [0], [], 0, 0, len(source)
@@ -131,16 +144,17 @@ class Page:
                         ident = v
                     elif key == "role":
                         role = v
-                    else:
+                    elif key == "hidden":
                         hidden = True
             up = stack[-1]
             general = _DIGITS.sub("#", ".".join([tag, *sorted(classes.split())]))
             in_article = any(self.tag[x] in ("article", "main") for x in stack)
-            bad = tag in BOILER_TAGS or tag == "header" and not in_article or role.lower() in BOILER_ROLES or hidden or tag not in ("body", "html", "article", "main") and bool(BOILER_WORDS.search(classes) or BOILER_WORDS.search(ident))
+            bad = tag in BOILER_TAGS or tag == "header" and not in_article or role.lower() in BOILER_ROLES or hidden or tag not in ("body", "html", "article", "main") and (_named(classes) or _named(ident))
             self.parent.append(up)
             self.tag.append(tag)
             self.path.append(f"{self.path[up]}>{general}" if self.path[up] else general)
             self.boiler.append(self.boiler[up] or bad)
+            self.never.append(self.never[up] or tag in NEVER_TAGS or role.lower() in NEVER_ROLES)
             owner = len(self.tag) - 1
             stack.append(owner)
         flush()

@@ -170,6 +170,19 @@ def test_pages_keep_all_of_the_article():
         assert page.text(page.best()).split() == want.split(), source
 
 
+def test_pages_keep_articles_that_only_look_like_boilerplate():
+    text = "Words of the article, a sentence that is long enough."
+    for attrs in ("style='overflow:hidden'", "aria-hidden=false", "data-id='nav'", "data-role=search", "class='content has-sidebar'", "class='entry no-comments'", "class='page-with-sidebar'", "class='nav'", "hidden"):
+        page = html_extract.Page(f"<body><nav>Menu</nav><div {attrs}><p>{text}</p></div><footer>End</footer></body>")
+        assert page.text(page.best()) == text, attrs
+    for attrs in ("hidden", "class='main-nav'", "ID = nav", "role=search", "style='x' hidden=hidden class='a'"):
+        page = html_extract.Page(f"<body><div {attrs}><p>Not of it, but quite as long as the article is itself.</p></div><p>{text}</p></body>")
+        assert page.text(page.best()) == text, attrs
+    for attrs in ("style='overflow:hidden'", "data-id='nav'", "data-role=search", "class='content has-sidebar'"):
+        page = html_extract.Page(f"<body><div {attrs}><p>{text}</p></div><div><p>Short.</p></div></body>")
+        assert text in page.text(page.best()), attrs
+
+
 def test_pages_of_the_table(spark, sf):
     import html
 
