@@ -2,6 +2,8 @@
 
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from noteloom.functions import text as X
 from noteloom.operators import linking as L
 
@@ -76,3 +78,12 @@ def test_assign_greedy(spark):
     assert got[("n1", 1)] == ("a", True)  # no signal: the first that is free
     assert not got[("n1", 2)][1] and got[("n1", 2)][0].startswith("adj_")
     assert not got[("n2", 0)][1] and len(got) == 4
+
+
+def test_greedy_assignment_reads_every_line(spark, sf):
+    from noteloom.plans import linking
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    got = linking.QUERIES["greedy_assignment"](spark, sf).groupBy("pos").agg(F.count("*").alias("n"), F.count_if("matched").alias("m")).collect()
+    assert {r["pos"]: r["n"] for r in got} == {r["l_linenumber"]: r["count"] for r in lines.groupBy("l_linenumber").count().collect()}
+    assert sum(r["m"] for r in got if r["pos"] > 4) > 0
