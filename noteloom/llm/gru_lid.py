@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hidden units for each direction and bytes of a window.
 HIDDEN, WINDOW = 8, 64
-#: The network is fitted on windows of at most so many labelled texts, those with the smallest md5 of their id, and so many windows of each.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 2500, 8
+#: The network is fitted on windows of so many labelled texts, an equal part of each language but LEAST_TEXTS of each at
+#: least, those with the smallest md5 of their id, and so many windows of each.
+SAMPLE_TEXTS, LEAST_TEXTS, SAMPLE_WINDOWS = 2500, 50, 8
 STEPS, BATCH, RATE = 220, 128, 0.02
 PAD = 0
 _LETTER = re.compile(r"[^\W\d_]")
@@ -205,13 +207,26 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGRU:
-    """Fit the network on a bounded sample of the rows given: windows spread over whole texts."""
+    """Fit the network on a sample of the rows given, bounded for each language: windows spread over whole texts."""
     n = F.length("_t")
     starts = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda k: F.floor(k * F.greatest(n - WINDOW, F.lit(0)) / (SAMPLE_WINDOWS - 1)).cast("int") + 1)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(id_col).cast("string").alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
+    found = {r["_l"]: r["count"] for r in rows.groupBy("_l").count().collect()}
+    each = max(LEAST_TEXTS, SAMPLE_TEXTS // max(len(found), 1))
     cut = rows.select(F.md5(F.coalesce("_i", F.lit(""))).alias("_k"), "_l", F.array_distinct(F.transform(starts, lambda s: F.substring(F.col("_t"), s, F.lit(WINDOW)))).alias("_w"))
-    sample = cut.orderBy("_k", "_l", "_w").limit(SAMPLE_TEXTS).collect()
+    sample = []
+    if found:
+        # only about 4 * each rows of a language, those of its smallest keys, come to its window
+        shares = F.broadcast(df.sparkSession.createDataFrame([(l, 4.0 * each / c) for l, c in found.items()], "_l string, _s double"))
+        near = cut.join(shares, "_l").where(F.conv(F.substring("_k", 1, 8), 16, 10).cast("double") / 2.0**32 < F.col("_s"))
+        near = near.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_k", "_w"))).where(F.col("_n") <= each)
+        sample = near.select("_k", "_l", "_w").collect()
+        got = Counter(r["_l"] for r in sample)
+        for l, c in found.items():
+            if got[l] < min(each, c):  # keys that are not spread, such as null ids
+                sample = [r for r in sample if r["_l"] != l] + cut.where(F.col("_l") == l).orderBy("_k", "_w").limit(each).collect()
+        sample.sort(key=lambda r: (r["_k"], r["_l"], r["_w"]))
     labels = sorted({r["_l"] for r in sample})
     net = ByteGRU(labels)
     rows_w, y = [], []

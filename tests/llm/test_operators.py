@@ -377,6 +377,14 @@ def test_language_id(spark, odd, none, sf):
     assert {r["lang_pred"] for r in gru_lid.language_id(docs(spark, [(1, "abc", None, "s")])).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(gru_lid, "SAMPLE_TEXTS", 40)
+    monkeypatch.setattr(gru_lid, "LEAST_TEXTS", 2, raising=False)
+    rows = [(i, f"some common words {i}", "en", "s") for i in range(400)] + [(1000, "qux zyx", "rare", "s"), (None, "abc", "null", "s"), (None, "abd", "null", "s")]
+    net = gru_lid.train(docs(spark, rows).where("lang is not null"))
+    assert set(net.labels) == {"en", "rare", "null"}
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(10)
     net = gru_lid.ByteGRU(["a", "b", "c"], hidden=4)
