@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Public license notices, as their holders publish them: (label, text).
+#: Excerpts of public license notices, some of them openings only, and no license bodies: (label, text). A text that holds
+#: other parts of a license only, such as its numbered sections, gets no label from them.
 TEMPLATES = (
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mit-notice", "Released under the MIT License."),
