@@ -6,12 +6,13 @@ import hashlib
 import itertools
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import lower_words, stash
@@ -20,13 +21,15 @@ from noteloom.llm.gru_lid import remainder
 #: Words that occur so often are units of the clustering by themselves, however many they are; all others go in groups by
 #: their last bytes. The OWN_UNITS most frequent are exchanged one by one on the driver, the other ones in rounds in Spark.
 OWN_COUNT, OWN_UNITS, GROUPS, CLASSES = 10, 1000, 152, 48
-#: Rounds over the text's bigrams end when a sweep over all words gains no more than TOLERANCE nats a token (or PASSES are over, if set).
+#: Rounds over the words' contexts end when a sweep over all words gains no more than TOLERANCE nats a token (or PASSES are over, if set).
 TOLERANCE, PASSES = 1e-4, None
 #: Words whose counts every executor gets; the counts of all others meet their texts in a join.
 BROADCAST_WORDS = 200_000
 KAPPA, BETA = 5.0, 0.5
 END = b""
-_FLUSH = 300_000
+_FLUSH, _MEMO = 600_000, 400_000
+#: Contexts go in parts of about PART_TOKENS tokens, written in packs of whole words of PACK entries or more; BLOCK cells make a part.
+_TOKENS, PART_TOKENS, PACK, BLOCK = 2_000_000, 1_000_000, 16_384, 65_536
 
 
 def group_of(word: bytes) -> int:
@@ -99,6 +102,28 @@ def likelihood(a: np.ndarray) -> float:
     return float(_xlogx(a).sum() - _xlogx(a.sum(axis=0)).sum() - _xlogx(a.sum(axis=1)).sum())
 
 
+class _Codes(dict):
+    """Codes of words as they are met: the row of a frequent word, else -1 - unit; the latter are forgotten when many."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.word)
+        self.model = model
+
+    def __missing__(self, word: bytes) -> int:
+        m = self.model
+        unit = 1 + group_of(word)
+        if len(m.far):
+            h = hashes([word])[0]
+            k = int(np.searchsorted(m.far, h))
+            if k < len(m.far) and m.far[k] == h:
+                unit = 1 + GROUPS + len(m.unit) + k
+        if len(self) >= len(m.word) + _MEMO:
+            self.clear()
+            self.update(m.word)
+        self[word] = -1 - unit
+        return -1 - unit
+
+
 @dataclass
 class Model:
     """What scoring needs besides the counts of rare words. Units: 0 the end, then groups, words, and far words."""
@@ -115,19 +140,15 @@ class Model:
 
     def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(row of each word or -1, unit of each word)."""
-        get = self.word.get
-        rows = np.array([get(w, -1) for w in words], dtype=np.int64)
-        units = self.unit[rows] if len(self.unit) else np.zeros(len(rows), np.int64)
-        at = np.nonzero(rows < 0)[0]
-        if len(at):
-            rare = [words[i] for i in at]
-            units[at] = [1 + group_of(w) for w in rare]
-            if len(self.far):
-                h = hashes(rare)
-                k = np.minimum(np.searchsorted(self.far, h), len(self.far) - 1)
-                hit = self.far[k] == h
-                units[at[hit]] = 1 + GROUPS + len(self.unit) + k[hit]
-        return rows, units
+        if "_codes" not in self.__dict__:
+            self._codes = _Codes(self)
+        of = self._codes
+        codes = np.array([of[w] for w in words], dtype=np.int64)
+        rows = np.maximum(codes, -1)
+        return rows, np.where(codes >= 0, self.unit[rows] if len(self.unit) else 0, -1 - codes)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_codes"}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,174 +179,307 @@ def _far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes(words).view(np.int64)), pa.array([group_of(w) for w in words], pa.int16())], names=["h", "g"])
 
 
-def _bigrams(shared):
-    """Texts to (l, r, n) of units."""
+@contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows that hold packed arrays go to Python a few at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def _packed(rows: Iterable[tuple[int, np.ndarray, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
+    for part, keys, n in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([None if n is None else n.tobytes()], pa.binary())], names=["part", "keys", "n"])
+
+
+def _squeeze(runs: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, with the sum of its counts (None: each counts 1)."""
+    keys = np.concatenate([k for k, _ in runs])
+    if all(n is None for _, n in runs):
+        return np.unique(keys, return_counts=True)
+    n = np.concatenate([np.ones(len(k), np.int64) if n is None else n for k, n in runs])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.nonzero(np.diff(keys, prepend=keys[:1] - 1))[0]
+    return keys[new], np.add.reduceat(n[order], new)
+
+
+def _split(shared, suffix, first: int, parts: int):
+    """Texts to packed (part, keys, n).
+
+    Parts below 0 count bigrams of units before first (the far ones put into a second set of their groups), in blocks
+    of cells. The others have the contexts of the words from first on: key = word << 32 | neighbour << 2 | side, where
+    side is 0 for a word that follows, 1 for a far word and 2 for another one that comes before.
+    """
+    size = first + GROUPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        model, near = shared.value, suffix.value
+        held, rows, cells = [], 0, np.zeros(size * size, np.int64)
 
-        def out() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
+        def out() -> Iterator[tuple[int, np.ndarray, None]]:
+            u = np.concatenate(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["l", "r", "n"])
+            l, r = u[:-1], u[1:]
+            inside = ~((l == 0) & (r == 0))  # between two texts there are two ends; a text without words adds none
+            l, r = l[inside], r[inside]
+            s = near[u][:-1][inside], near[u][1:][inside]
+            cells[:] += np.bincount(s[0] * size + s[1], minlength=size * size)
+            a, b = l >= first, r >= first
+            w = np.concatenate([l[a], r[b]])
+            o = np.concatenate([r[a] << 2, (l[b] << 2) + np.where(l[b] >= first, 1, 2)])
+            part = (_spread(w) % parts).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, keys = part[order], (w << 32 | o)[order]
+            cut = np.nonzero(np.diff(part, prepend=-1))[0]
+            for lo, hi in zip(cut, [*cut[1:], len(part)]):
+                yield int(part[lo]), keys[lo:hi], None
 
         for b in batches:
             for text in b.column(0):
-                _, u = shared.value.units(lower_words(text.as_py()))
-                u = np.concatenate([[0], u, [0]])  # a text begins and ends at the same border
-                held.append(u[:-1] << 32 | u[1:])
+                words = lower_words(text.as_py())
+                _, u = model.units(words)
+                if len(u):
+                    held += [_EDGE, u, _EDGE]  # a text begins and ends at the same border
+                else:
+                    cells[0] += 1
                 rows += len(u)
-                if rows > 4_000_000:
-                    yield out()
+                if rows > _TOKENS:
+                    yield from _packed(out())
                     rows = 0
         if held:
-            yield out()
+            yield from _packed(out())
+        at = np.nonzero(cells)[0]
+        for lo in range(0, size * size, BLOCK):
+            x = at[np.searchsorted(at, lo) : np.searchsorted(at, lo + BLOCK)]
+            if len(x):
+                yield from _packed([(-1 - lo // BLOCK, x, cells[x])])
 
     return run
 
 
-def _cells(grams: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
-    """Bigram counts of units that are put together, size x size."""
-    shared = grams.sparkSession.sparkContext.broadcast(of)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(size * size)
-        for b in batches:
-            l, r, n = (c.to_numpy() for c in b.columns)
-            cell = shared.value[l].astype(np.int64) * size + shared.value[r]
-            if len(cell) * 8 > size * size:
-                dense += np.bincount(cell, n, size * size)
-            else:
-                np.add.at(dense, cell, n)
-        cell = np.nonzero(dense)[0]
-        for at in range(0, len(cell), 100_000):
-            c = cell[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(dense[c].astype(np.int64))], names=["cell", "n"])
+_EDGE = np.zeros(1, np.int64)
 
-    got = grams.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
-    shared.unpersist()
-    n = np.zeros(size * size)
-    n[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return n.reshape(size, size)
 
+def _spread(w: np.ndarray) -> np.ndarray:
+    return (w * 2654435761 & 0xFFFFFFFF) >> 8
 
-def _contexts(grams: DataFrame, first: int) -> DataFrame:
-    """(w, o, n) of every unit from first on: its neighbours as 2 * unit + (1 where it comes before), and their counts."""
 
-    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            l, r, n = (c.to_numpy() for c in b.columns)
-            w, o, n = np.concatenate([l, r]), np.concatenate([r * 2, l * 2 + 1]), np.concatenate([n, n])
-            keep = w >= first
-            yield pa.RecordBatch.from_arrays([pa.array(w[keep]), pa.array(o[keep]), pa.array(n[keep])], names=["w", "o", "n"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
-        if not got:
-            return
-        w, o, n = (np.concatenate(c) for c in zip(*got))
-        order = np.argsort(w, kind="stable")
-        w, o, n = w[order], o[order], n[order]
-        at = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1, [len(w)]])
-        for k in range(0, len(at) - 1, 2000):
-            cut = at[k : k + 2001]
-            part, ends = slice(cut[0], cut[-1]), pa.array((cut - cut[0]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(w[cut[:-1]]), pa.ListArray.from_arrays(ends, pa.array(o[part])), pa.ListArray.from_arrays(ends, pa.array(n[part]))], names=["w", "o", "n"])
-
-    flat = grams.mapInArrow(turn, "w int, o int, n long").repartition("w")
-    return flat.mapInArrow(pack, "w int, o array<int>, n array<bigint>")
-
-
-def _moves(contexts: DataFrame, classes: np.ndarray, a: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """(units, classes) of half of the units that fit another class better, by their own contexts' classes."""
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each part's keys once; contexts in packs of whole words."""
+    runs: dict[int, list] = {}
+    fresh: Counter = Counter()
+    for b in batches:
+        for part, keys, n in zip(*(c.to_pylist() for c in b.columns)):
+            runs.setdefault(part, []).append((np.frombuffer(keys, np.int64), None if n is None else np.frombuffer(n, np.int64)))
+            fresh[part] += len(keys) // 8
+            if fresh[part] > 8_000_000:
+                runs[part] = [_squeeze(runs[part])]
+                fresh[part] = 0
+    for part in sorted(runs):
+        keys, n = _squeeze(runs.pop(part))
+        if part < 0:
+            yield from _packed([(part, keys, n)])
+            continue
+        word = np.nonzero(np.diff(keys >> 32, prepend=-1))[0]
+        cut = np.unique(word[np.minimum(np.searchsorted(word, np.arange(0, len(keys), PACK)), len(word) - 1)])
+        small = n.astype(np.uint16) if n.max() < 2**16 else n
+        for lo, hi in zip(cut, [*cut[1:], len(keys)]):
+            yield from _packed([(part, keys[lo:hi], small[lo:hi])])
+
+
+def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(words, place of each entry's word in them, neighbours, sides, counts) of packs."""
+    got = [(np.frombuffer(k, np.int64), n) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    keys = np.concatenate([k for k, _ in got])
+    n = np.concatenate([np.frombuffer(n, np.uint16 if len(n) == 2 * len(k) else np.int64) for k, n in got])
+    w = keys >> 32
+    new = np.diff(w, prepend=-1) != 0
+    low = keys & 0xFFFFFFFF
+    return w[new], np.cumsum(new) - 1, low >> 2, low & 3, n
+
+
+def _summed(contexts: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
+    """(i, x) that tasks give, x summed for each i."""
+    with _batches(contexts.sparkSession, 64):
+        got = contexts.select("keys", "n").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    return got["i"].to_numpy(), got["x"].to_numpy()
+
+
+def _pairs(i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int64)), pa.array(x.astype(np.float64))], names=["i", "x"])
+
+
+def _round(contexts: DataFrame, classes: np.ndarray, half: np.ndarray, turn: int, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over all contexts.
+
+    (class bigrams that hold a word of the contexts, what the moves change of them as long as neighbours stay, units
+    that move, their classes). The words of one half move, each to the class that fits its neighbours' classes best.
+    """
     fit = np.log(a + BETA)
     row, col = np.log(a.sum(axis=1) + BETA * CLASSES), np.log(a.sum(axis=0) + BETA * CLASSES)
-    shared = contexts.sparkSession.sparkContext.broadcast((classes, fit, row, col))
+    shared = contexts.sparkSession.sparkContext.broadcast((classes, half, fit, row, col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, fit, row, col = shared.value
+        own, half, fit, row, col = shared.value
+        sums = np.zeros((2, CLASSES, CLASSES))
         for b in batches:
             if not b.num_rows:
                 continue
-            w, o, n = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
-            at = np.repeat(np.arange(len(w)), b.column(1).value_lengths().to_numpy())
-            m = np.bincount(at * (2 * CLASSES) + (o & 1) * CLASSES + own[o >> 1], n, len(w) * 2 * CLASSES).reshape(len(w), 2 * CLASSES)
-            after, before = m[:, :CLASSES], m[:, CLASSES:]
+            w, at, o, side, n = _unpack(b)
+            m = np.bincount(at * (3 * CLASSES) + side * CLASSES + own[o], n, len(w) * 3 * CLASSES).reshape(len(w), 3, CLASSES)
+            after, before, k0 = m[:, 0], m[:, 1] + m[:, 2], own[w]
+            np.add.at(sums[0], k0, after)
+            np.add.at(sums[0].T, k0, m[:, 2])
             gain = after @ fit.T + before @ fit - after.sum(axis=1)[:, None] * row - before.sum(axis=1)[:, None] * col
             k = gain.argmax(axis=1)
             i = np.arange(len(w))
-            go = (gain[i, k] > gain[i, own[w]] + 1e-6) & ((w.astype(np.int64) * 2654435761 >> 16) % 2 == half)
-            yield pa.RecordBatch.from_arrays([pa.array(w[go]), pa.array(k[go].astype(np.int16))], names=["w", "k"])
+            go = (gain[i, k] > gain[i, k0] + 1e-6) & (half[w] == turn)
+            np.add.at(sums[1], k[go], after[go])
+            np.subtract.at(sums[1], k0[go], after[go])
+            np.add.at(sums[1].T, k[go], before[go])
+            np.subtract.at(sums[1].T, k0[go], before[go])
+            yield _pairs(2 * CLASSES**2 + w[go], k[go])
+        yield _pairs(np.arange(2 * CLASSES**2), sums.reshape(-1))
+
+    i, x = _summed(contexts, run)
+    shared.unpersist()
+    sums = np.zeros(2 * CLASSES**2)
+    cell = i < len(sums)
+    sums[i[cell]] = x[cell]
+    now, change = sums.reshape(2, CLASSES, CLASSES)
+    return now, change, i[~cell] - len(sums), x[~cell].astype(np.uint8)
+
 
-    got = contexts.mapInArrow(run, "w int, k short").toArrow()
+def _far_cells(contexts: DataFrame, classes: np.ndarray, first: int) -> np.ndarray:
+    """Bigram counts of the units before first and the classes of all other words, as far as contexts hold them."""
+    size = first + CLASSES
+    shared = contexts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums = shared.value, np.zeros(size * size)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w, at, o, side, n = _unpack(b)
+            me = first + own[w].astype(np.int64)[at]
+            it = np.where(o < first, o, first + own[o].astype(np.int64))
+            once = side != 1  # a pair of far words counts where the second one follows
+            sums += np.bincount(np.where(side == 0, me * size + it, it * size + me)[once], n[once], size * size)
+        at = np.nonzero(sums)[0]
+        for lo in range(0, len(at), 100_000):
+            yield _pairs(at[lo : lo + 100_000], sums[at[lo : lo + 100_000]])
+
+    i, x = _summed(contexts, run)
     shared.unpersist()
-    return got["w"].to_numpy(), got["k"].to_numpy()
+    out = np.zeros(size * size)
+    out[i] = x
+    return out.reshape(size, size)
 
 
-def cluster(grams: DataFrame, suffix: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class bigram counts). Units before first are exchanged one by one; the others start with
-    their suffix's group, then move in rounds by the classes of all their own neighbours, half of them at a time, until
-    a sweep gains no more than TOLERANCE; then the first ones are exchanged again."""
-    size = first
-    got = exchange(_cells(grams, suffix, size))
-    classes = got[suffix].astype(np.uint8)
-    a = _cells(grams, classes, CLASSES)
+def cluster(contexts: DataFrame, cells: np.ndarray, suffix: np.ndarray, half: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class bigram counts).
+
+    Units before first are exchanged one by one, with the others put into their suffix's group; the others start with
+    its class, then move in rounds by the classes of all their own neighbours, half of them at a time, until a sweep
+    gains no more than TOLERANCE; then the first ones are exchanged again. A round whose likelihood is below the best
+    one is taken back.
+    """
+    alone = cells[:first, :first]
+    fold = np.concatenate([np.arange(first), 1 + np.arange(GROUPS)])
+    n = np.zeros((first, first))
+    np.add.at(n, (fold[:, None], fold[None, :]), cells)
+    got = exchange(n)
+    classes = got[np.where(suffix < first, suffix, suffix - first + 1)].astype(np.uint8)
+    a = _folded(n, got)
     if len(suffix) > first:
-        contexts = stash(_contexts(grams, first), "op8-contexts")
-        tokens, best, before = max(a.sum(), 1), likelihood(a), -np.inf
-        for k in itertools.count() if PASSES is None else range(2 * PASSES):
+        fixed, tokens = _folded(alone, got), max(a.sum(), 1)
+        best, kept, at_best, before = likelihood(a), classes, a, -np.inf
+        for k in itertools.count() if PASSES is None else range(2 * PASSES + 1):
+            now, change, w, to = _round(contexts, classes, half, k % 2, a)
+            exact = fixed + now
+            if k and likelihood(exact) <= best:
+                classes, a = kept, at_best
+            else:
+                best, kept, at_best = likelihood(exact), classes, exact
+                classes, a = classes.copy(), np.maximum(exact + change, 0)
+                classes[w] = to
             if k % 2 == 0:
                 if best - before <= TOLERANCE * tokens:
                     break
                 before = best
-            w, to = _moves(contexts, classes, a, k % 2)
-            if not len(w):
-                continue
-            new = classes.copy()
-            new[w] = to
-            b = _cells(grams, new, CLASSES)
-            if likelihood(b) > best:
-                classes, a, best = new, b, likelihood(b)
-        of = np.arange(len(suffix), dtype=np.int32)
-        of[first:] = size + classes[first:].astype(np.int32)
-        n = _cells(grams, of, size + CLASSES)
+        classes = kept
+        n = _far_cells(contexts, classes, first)
+        n[:first, :first] += alone
         got = exchange(n, start=np.concatenate([classes[:first], np.arange(CLASSES)]), still=CLASSES)
         classes[:first] = got[:first]
-        one = np.eye(CLASSES)[got]
-        a = one.T @ n @ one
+        a = _folded(n, got)
     return classes, a
 
 
+def _folded(n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    one = np.eye(CLASSES)[own]
+    return one.T @ n @ one
+
+
+def _frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """(words, counts) of all words that occur c times or more, c being the least that leaves no more than
+    BROADCAST_WORDS; and of the OWN_UNITS + 1 most frequent words in any case. Most frequent first, ties by the word."""
+    hist = counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(BROADCAST_WORDS + 1).collect()
+    least, sum_ = None, 0
+    for r in hist:
+        sum_ += r["k"]
+        if sum_ > BROADCAST_WORDS:
+            break
+        least = r["n"]
+    got = [] if least is None else [(r["n"], r["w"]) for r in counts.where(F.col("n") >= least).toLocalIterator()]
+    if len(got) < OWN_UNITS + 1:
+        rest = counts if least is None else counts.where(F.col("n") < least)
+        got += [(r["n"], r["w"]) for r in rest.orderBy(F.desc("n"), "w").limit(OWN_UNITS + 1 - len(got)).collect()]
+    got.sort(key=lambda x: (-x[0], x[1]))
+    return [bytes(w) for _, w in got], np.array([n for n, _ in got], np.int64)
+
+
 def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of the texts given, and the table of all word counts."""
     spark = train.sparkSession
     counts = stash(word_counts(train, text_col), "op8-counts")
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    ranked = counts.orderBy(F.col("n").desc(), "w").limit(BROADCAST_WORDS).toArrow()
-    top, count = ranked["w"].to_pylist(), ranked["n"].to_numpy().astype(np.int64)
+    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") >= OWN_COUNT).cast("long")).alias("own")).first()
+    top, count = _frequent(counts)
     word = {w: i for i, w in enumerate(top)}
-    group = np.array([group_of(w) for w in top], np.int32)
+    group = np.array([group_of(w) for w in top], np.int64)
     unit = np.where(count >= OWN_COUNT, 1 + GROUPS + np.arange(len(top)), 1 + group).astype(np.int64)
     if END in word:
         unit[word[END]] = 0
+    own = int((count >= OWN_COUNT).sum())
+    alone = min(OWN_UNITS + 1, own)
+    first = 1 + GROUPS + alone
+    # where each unit's bigrams are counted at first: by itself, or in the second set of groups
+    suffix, side = [np.arange(first), first + group[alone:]], [np.zeros(1 + GROUPS, np.uint8), (hashes(top) & 1).astype(np.uint8)]
     far = np.zeros(0, np.uint64)
-    suffix = [np.arange(1 + GROUPS, dtype=np.int32), 1 + group]
-    if len(top) == BROADCAST_WORDS and count[-1] >= OWN_COUNT:
-        last = F.lit(top[-1])
-        rest = counts.where((F.col("n") >= OWN_COUNT) & ((F.col("n") < int(count[-1])) | (F.col("n") == int(count[-1])) & (F.col("w") > last)))
+    if own < (total["own"] or 0):
+        rest = counts.where(F.col("n") >= OWN_COUNT).where(F.col("n") <= int(count[-1]))
         got = rest.select("w").mapInArrow(_far, "h long, g short").toArrow()
         h, at = np.unique(got["h"].to_numpy().view(np.uint64), return_index=True)
-        far = h
-        suffix.append(1 + got["g"].to_numpy()[at].astype(np.int32))
-    suffix = np.concatenate(suffix)
-    alone = min(OWN_UNITS + 1, len(top), int((count >= OWN_COUNT).sum()))
-    first = 1 + GROUPS + alone
-    suffix[1 + GROUPS : first] = np.arange(1 + GROUPS, first)
+        fresh = ~np.isin(h, hashes(top))
+        far, at = h[fresh], at[fresh]
+        suffix.append(first + got["g"].to_numpy()[at].astype(np.int64))
+        side.append((far & 1).astype(np.uint8))
+    suffix, side = np.concatenate(suffix), np.concatenate(side)
     model = Model(word, count, unit, far, int(total["n"] or 0), int(total["v"] or 0))
-    shared = spark.sparkContext.broadcast(model)
-    grams = train.select(text_col).mapInArrow(_bigrams(shared), "l int, r int, n long").groupBy("l", "r").agg(F.sum("n").alias("n"))
-    grams = stash(grams, "op8-bigrams")
-    model.classes, a = cluster(grams, suffix, first)
+    shared, near = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(suffix)
+    parts = max(1, model.n_tokens // PART_TOKENS)
+    with _batches(spark, 64):
+        split = train.select(text_col).mapInArrow(_split(shared, near, first, parts), "part int, keys binary, n binary")
+        grams = stash(split.repartition(parts + 1, "part").mapInArrow(_merge, "part int, keys binary, n binary"), "op8-contexts")
+    cells = np.zeros((first + GROUPS) ** 2)
+    for r in grams.where("part < 0").toLocalIterator():
+        cells[np.frombuffer(r["keys"], np.int64)] = np.frombuffer(r["n"], np.int64)
+    model.classes, a = cluster(grams.where("part >= 0"), cells.reshape(first + GROUPS, -1), suffix, side, first)
     prior = (a.sum(axis=0) + 1) / (a.sum() + CLASSES)
     model.step = np.log10((a + KAPPA * prior) / (a.sum(axis=1, keepdims=True) + KAPPA))
     # distinct words of each class, over the whole table
@@ -372,32 +526,34 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        log1, logb = np.log10(m.count + 1.0), np.log10(m.count + BETA)
-        whole = np.log10(m.n_tokens + m.n_types + 1.0)
-        for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for text in b.column(2):
-                words = [*lower_words(text.as_py()), END]
-                rows, u = m.units(words)
+        log1, logb = np.log10(np.append(m.count, 0) + 1.0), np.log10(np.append(m.count, 0) + BETA)
+        whole, border = np.log10(m.n_tokens + m.n_types + 1.0), m.classes[0]
+        for big in batches:
+            for lo in range(0, big.num_rows, 256):
+                b = big.slice(lo, 256)
+                texts = [[*lower_words(t.as_py()), END] for t in b.column(2)]
+                n = np.array([len(t) for t in texts])
+                flat = [w for t in texts for w in t]
+                at = np.cumsum(n) - n
+                rows, u = m.units(flat)
                 known = rows >= 0
-                r = rows[known]
-                base = log1[r].sum() - len(words) * whole
-                k = m.classes[np.concatenate([[0], u])]
-                score = m.step[k[:-1], k[1:]].sum() + logb[r].sum() - m.lost[k[1:]].sum()
-                rare = Counter([words[i] for i in np.nonzero(~known)[0]])
-                for c, x in zip(cols, (len(words), int(known.sum()), float(base), float(score), [{"w": w, "k": k} for w, k in rare.items()])):
-                    c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                k = m.classes[u]
+                last = np.concatenate([[border], k[:-1]])
+                last[at] = border
+                total = lambda x: np.add.reduceat(x, at)
+                # a word that no executor has counts as none that occurs; the join adds what it lacks
+                base = total(log1[rows]) - n * whole
+                score = total(m.step[last, k] - m.lost[k] + logb[rows])
+                rare = np.nonzero(~known)[0]
+                words = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.append(at, len(flat))).astype(np.int32)), pa.array([flat[i] for i in rare], pa.binary()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total(known.astype(np.int64))), pa.array(base), pa.array(score), words], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = src.schema["id"].dataType.simpleString()
-    first = src.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<w: binary, k: bigint>>")
+    first = src.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>")
     first = stash(first.withColumn("row", F.monotonically_increasing_id()), "op8-first")
-    rare = first.select("row", F.explode("rare").alias("x")).select("row", "x.w", "x.k")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    joined = rare.join(counts, "w", "left").groupBy("row").agg(
-        F.sum(F.col("k") * F.log10(c + 1.0)).alias("b"), F.sum(F.col("k") * F.log10(c + BETA)).alias("s"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known")
-    )
+    rare = first.select("row", F.explode("rare").alias("w"))
+    c = F.col("n")
+    joined = rare.join(counts, "w").groupBy("row").agg(F.sum(F.log10(c + 1.0)).alias("b"), F.sum(F.log10(c + BETA) - float(np.log10(BETA))).alias("s"), F.count("*").alias("known"))
     out = first.drop("rare").join(joined, "row", "left")
     more = lambda name, by: (F.col(name) + F.coalesce(F.col(by), F.lit(0))).alias(name)
     out = out.select(F.col("id").alias(id_col), "held_out", "n_tokens", more("n_known", "known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), more("base_score", "b"), more("score", "s"))

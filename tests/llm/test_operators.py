@@ -433,6 +433,36 @@ def test_class_lm(spark, odd, none, sf, monkeypatch):
     assert brown_lm.score_texts(none).count() == 0
 
 
+def test_class_lm_scores_by_brute_force(spark, sf, monkeypatch):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [(r["doc_id"], [w.encode() for w in WORDS.findall(lower(r["text"]))]) for r in d.collect()]
+    count = collections.Counter(w for i, ws in texts if not held(i) for w in (*ws, b""))
+    scores = []
+    for few in (brown_lm.BROADCAST_WORDS, 1500, 50):
+        monkeypatch.setattr(brown_lm, "BROADCAST_WORDS", few)
+        model, _ = brown_lm.fit(d.where(gru_lid.remainder(d.doc_id, 7) != 2))
+        of = dict(zip(count, model.classes[model.units(list(count))[1]]))
+        k = brown_lm.CLASSES
+        a, types = np.zeros((k, k)), collections.Counter(of.values())
+        for i, ws in texts:
+            if not held(i):
+                for x, y in zip([b"", *ws], [*ws, b""]):
+                    a[of[x], of[y]] += 1
+        prior = (a.sum(axis=0) + 1) / (a.sum() + k)
+        got = {r["doc_id"]: r["score"] for r in brown_lm.score_texts(d).collect()}
+        for i, ws in texts:
+            want, x = 0.0, of[b""]
+            for w in (*ws, b""):
+                y = of[w] if w in of else model.classes[model.units([w])[1][0]]
+                want += math.log10((a[x, y] + brown_lm.KAPPA * prior[y]) / (a[x].sum() + brown_lm.KAPPA))
+                want += math.log10((count[w] + brown_lm.BETA) / (a[:, y].sum() + brown_lm.BETA * (types[y] + 1)))
+                x = y
+            assert abs(got[i] - want) < 1e-6 * max(1, abs(want))
+        scores.append(got)
+    assert all(abs(scores[0][i] - s[i]) < 1e-6 * abs(s[i]) for s in scores for i in s)
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(12)
     true = rng.integers(0, 4, 60)
