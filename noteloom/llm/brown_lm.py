@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import lower_words, stash
+from noteloom.llm.common import lower_words, slices, stash
 from noteloom.llm.gru_lid import remainder
 
 #: Words that occur so often are units of the clustering by themselves, however many they are; all others go in groups by
@@ -103,7 +103,8 @@ def likelihood(a: np.ndarray) -> float:
 
 
 class _Codes(dict):
-    """Codes of words as they are met: the row of a frequent word, else -1 - unit; the latter are forgotten when many."""
+    """Codes of words as they are met: the row of a frequent word, else the number of rows and the unit; the latter are
+    forgotten when many."""
 
     def __init__(self, model: Model):
         super().__init__(model.word)
@@ -120,8 +121,8 @@ class _Codes(dict):
         if len(self) >= len(m.word) + _MEMO:
             self.clear()
             self.update(m.word)
-        self[word] = -1 - unit
-        return -1 - unit
+        self[word] = len(m.unit) + unit
+        return len(m.unit) + unit
 
 
 @dataclass
@@ -138,14 +139,18 @@ class Model:
     step: np.ndarray | None = None  # log10 P(class | class before)
     lost: np.ndarray | None = None  # log10 of the emission's divisor, by class
 
-    def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each word or -1, unit of each word)."""
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """The row of each frequent word; of the others, the number of rows and the unit."""
         if "_codes" not in self.__dict__:
             self._codes = _Codes(self)
-        of = self._codes
-        codes = np.array([of[w] for w in words], dtype=np.int64)
-        rows = np.maximum(codes, -1)
-        return rows, np.where(codes >= 0, self.unit[rows] if len(self.unit) else 0, -1 - codes)
+        return np.fromiter(map(self._codes.__getitem__, words), np.int64, len(words))
+
+    def unit_of(self) -> np.ndarray:
+        """The unit of each code."""
+        return np.concatenate([self.unit, np.arange(1 + GROUPS + len(self.unit) + len(self.far))])
+
+    def units(self, words: list[bytes]) -> np.ndarray:
+        return self.unit_of()[self.codes(words)]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_codes"}
@@ -191,9 +196,16 @@ def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
-def _packed(rows: Iterable[tuple[int, np.ndarray, np.ndarray | None]]) -> Iterator[pa.RecordBatch]:
-    for part, keys, n in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([None if n is None else n.tobytes()], pa.binary())], names=["part", "keys", "n"])
+_KEYS = "part int, keys binary, n binary"
+_PACK = "part int, w binary, lens binary, o binary, n binary"
+
+
+def _packed(schema: str, rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of a number and arrays."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    for part, *arrays in rows:
+        cols = [pa.array([None if x is None else x.tobytes()], pa.binary()) for x in arrays]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *cols], names=names)
 
 
 def _squeeze(runs: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,52 +231,49 @@ def _split(shared, suffix, first: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, near = shared.value, suffix.value
+        unit = model.unit_of()
         held, rows, cells = [], 0, np.zeros(size * size, np.int64)
 
         def out() -> Iterator[tuple[int, np.ndarray, None]]:
-            u = np.concatenate(held)
+            u = unit[np.concatenate(held)]
             held.clear()
-            l, r = u[:-1], u[1:]
-            inside = ~((l == 0) & (r == 0))  # between two texts there are two ends; a text without words adds none
-            l, r = l[inside], r[inside]
-            s = near[u][:-1][inside], near[u][1:][inside]
-            cells[:] += np.bincount(s[0] * size + s[1], minlength=size * size)
-            a, b = l >= first, r >= first
+            s = near[u]
+            s, t = np.concatenate([[0], s[:-1]]), s  # before a text's first word stands the end, as after its last one
+            cells[:] += np.bincount(s * size + t, minlength=size * size)
+            l, r = np.concatenate([[0], u[:-1]]), u
+            a, b = np.nonzero(l >= first)[0], np.nonzero(r >= first)[0]
+            before = l[b]
             w = np.concatenate([l[a], r[b]])
-            o = np.concatenate([r[a] << 2, (l[b] << 2) + np.where(l[b] >= first, 1, 2)])
-            part = (_spread(w) % parts).astype(np.int32)
+            o = np.concatenate([r[a] << 2, (before << 2) + np.where(before >= first, 1, 2)])
+            part = (_spread(w) % parts).astype(np.uint16 if parts < 2**16 else np.int64)  # short numbers are sorted faster
             order = np.argsort(part, kind="stable")
             part, keys = part[order], (w << 32 | o)[order]
-            cut = np.nonzero(np.diff(part, prepend=-1))[0]
+            cut = np.nonzero(np.diff(part.astype(np.int64), prepend=-1))[0]
             for lo, hi in zip(cut, [*cut[1:], len(part)]):
                 yield int(part[lo]), keys[lo:hi], None
 
-        for b in batches:
-            for text in b.column(0):
-                words = lower_words(text.as_py())
-                _, u = model.units(words)
-                if len(u):
-                    held += [_EDGE, u, _EDGE]  # a text begins and ends at the same border
-                else:
-                    cells[0] += 1
-                rows += len(u)
+        for big in batches:
+            for b in slices(big, 0):
+                flat: list[bytes] = []
+                for text in b.column(0):
+                    flat += lower_words(text.as_py())
+                    flat.append(END)
+                held.append(model.codes(flat))
+                rows += len(flat)
                 if rows > _TOKENS:
-                    yield from _packed(out())
+                    yield from _packed(_KEYS, out())
                     rows = 0
         if held:
-            yield from _packed(out())
+            yield from _packed(_KEYS, out())
         at = np.nonzero(cells)[0]
         for lo in range(0, size * size, BLOCK):
             x = at[np.searchsorted(at, lo) : np.searchsorted(at, lo + BLOCK)]
             if len(x):
-                yield from _packed([(-1 - lo // BLOCK, x, cells[x])])
+                yield from _packed(_KEYS, [(-1 - lo // BLOCK, x, cells[x])])
 
     return run
 
 
-_EDGE = np.zeros(1, np.int64)
-
-
 def _spread(w: np.ndarray) -> np.ndarray:
     return (w * 2654435761 & 0xFFFFFFFF) >> 8
 
@@ -283,30 +292,30 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in sorted(runs):
         keys, n = _squeeze(runs.pop(part))
         if part < 0:
-            yield from _packed([(part, keys, n)])
+            yield from _packed(_PACK, [(part, keys, None, None, n)])
             continue
-        word = np.nonzero(np.diff(keys >> 32, prepend=-1))[0]
-        cut = np.unique(word[np.minimum(np.searchsorted(word, np.arange(0, len(keys), PACK)), len(word) - 1)])
+        w, o = keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32)
+        word = np.nonzero(np.diff(w, prepend=-1))[0]
+        w, lens = w[word].astype(np.int32), np.diff(np.append(word, len(keys))).astype(np.int32)
+        cut = np.unique(np.minimum(np.searchsorted(word, np.arange(0, len(keys), PACK)), len(word) - 1))
         small = n.astype(np.uint16) if n.max() < 2**16 else n
-        for lo, hi in zip(cut, [*cut[1:], len(keys)]):
-            yield from _packed([(part, keys[lo:hi], small[lo:hi])])
+        for lo, hi in zip(cut, [*cut[1:], len(word)]):
+            at = slice(word[lo], word[hi] if hi < len(word) else len(keys))
+            yield from _packed(_PACK, [(part, w[lo:hi], lens[lo:hi], o[at], small[at])])
 
 
 def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(words, place of each entry's word in them, neighbours, sides, counts) of packs."""
-    got = [(np.frombuffer(k, np.int64), n) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    keys = np.concatenate([k for k, _ in got])
-    n = np.concatenate([np.frombuffer(n, np.uint16 if len(n) == 2 * len(k) else np.int64) for k, n in got])
-    w = keys >> 32
-    new = np.diff(w, prepend=-1) != 0
-    low = keys & 0xFFFFFFFF
-    return w[new], np.cumsum(new) - 1, low >> 2, low & 3, n
+    """(words, how many entries each has, the entries' neighbours << 2 | sides, their counts) of packs."""
+    w, lens, o, n = ([x.as_buffer() for x in b.column(k)] for k in range(4))
+    o = [np.frombuffer(x, np.uint32) for x in o]
+    n = [np.frombuffer(x, np.uint16 if x.size == 2 * len(y) else np.int64) for x, y in zip(n, o)]
+    return *(np.concatenate([np.frombuffer(x, np.int32) for x in c]).astype(np.int64) for c in (w, lens)), np.concatenate(o), np.concatenate(n)
 
 
 def _summed(contexts: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
     """(i, x) that tasks give, x summed for each i."""
     with _batches(contexts.sparkSession, 64):
-        got = contexts.select("keys", "n").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        got = contexts.select("w", "lens", "o", "n").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
     return got["i"].to_numpy(), got["x"].to_numpy()
 
 
@@ -327,11 +336,14 @@ def _round(contexts: DataFrame, classes: np.ndarray, half: np.ndarray, turn: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, half, fit, row, col = shared.value
         sums = np.zeros((2, CLASSES, CLASSES))
+        place = (np.arange(4) * CLASSES + own[:, None]).astype(np.uint8).reshape(-1)  # of an entry among its word's
         for b in batches:
             if not b.num_rows:
                 continue
-            w, at, o, side, n = _unpack(b)
-            m = np.bincount(at * (3 * CLASSES) + side * CLASSES + own[o], n, len(w) * 3 * CLASSES).reshape(len(w), 3, CLASSES)
+            w, lens, o, n = _unpack(b)
+            at = np.repeat(np.arange(len(w)) * (3 * CLASSES), lens)
+            at += place[o]
+            m = np.bincount(at, n, len(w) * 3 * CLASSES).reshape(len(w), 3, CLASSES)
             after, before, k0 = m[:, 0], m[:, 1] + m[:, 2], own[w]
             np.add.at(sums[0], k0, after)
             np.add.at(sums[0].T, k0, m[:, 2])
@@ -365,8 +377,8 @@ def _far_cells(contexts: DataFrame, classes: np.ndarray, first: int) -> np.ndarr
         for b in batches:
             if not b.num_rows:
                 continue
-            w, at, o, side, n = _unpack(b)
-            me = first + own[w].astype(np.int64)[at]
+            w, lens, o, n = _unpack(b)
+            me, side, o = np.repeat(first + own[w].astype(np.int64), lens), o & 3, (o >> 2).astype(np.int64)
             it = np.where(o < first, o, first + own[o].astype(np.int64))
             once = side != 1  # a pair of far words counts where the second one follows
             sums += np.bincount(np.where(side == 0, me * size + it, it * size + me)[once], n[once], size * size)
@@ -474,11 +486,11 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     shared, near = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(suffix)
     parts = max(1, model.n_tokens // PART_TOKENS)
     with _batches(spark, 64):
-        split = train.select(text_col).mapInArrow(_split(shared, near, first, parts), "part int, keys binary, n binary")
-        grams = stash(split.repartition(parts + 1, "part").mapInArrow(_merge, "part int, keys binary, n binary"), "op8-contexts")
+        split = train.select(text_col).mapInArrow(_split(shared, near, first, parts), _KEYS)
+        grams = stash(split.repartition(parts + 1, "part").mapInArrow(_merge, _PACK), "op8-contexts")
     cells = np.zeros((first + GROUPS) ** 2)
     for r in grams.where("part < 0").toLocalIterator():
-        cells[np.frombuffer(r["keys"], np.int64)] = np.frombuffer(r["n"], np.int64)
+        cells[np.frombuffer(r["w"], np.int64)] = np.frombuffer(r["n"], np.int64)
     model.classes, a = cluster(grams.where("part >= 0"), cells.reshape(first + GROUPS, -1), suffix, side, first)
     prior = (a.sum(axis=0) + 1) / (a.sum() + CLASSES)
     model.step = np.log10((a + KAPPA * prior) / (a.sum(axis=1, keepdims=True) + KAPPA))
@@ -494,10 +506,9 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
 
 def _types(shared, by_unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = np.zeros(CLASSES, np.int64)
+        v, by_code = np.zeros(CLASSES, np.int64), by_unit.value[shared.value.unit_of()]
         for b in batches:
-            _, u = shared.value.units(b.column(0).to_pylist())
-            v += np.bincount(by_unit.value[u], minlength=CLASSES)
+            v += np.bincount(by_code[shared.value.codes(b.column(0).to_pylist())], minlength=CLASSES)
         at = np.nonzero(v)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(v[at])], names=["k", "v"])
 
@@ -526,27 +537,29 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        log1, logb = np.log10(np.append(m.count, 0) + 1.0), np.log10(np.append(m.count, 0) + BETA)
-        whole, border = np.log10(m.n_tokens + m.n_types + 1.0), m.classes[0]
+        known, unit = len(m.count), m.unit_of()
+        classes = m.classes[unit]
+        # by code; a word that no executor has counts as none that occurs, and the join adds what it lacks
+        count = np.concatenate([m.count, np.zeros(len(unit) - known)])
+        base, own = np.log10(count + 1.0) - np.log10(m.n_tokens + m.n_types + 1.0), np.log10(count + BETA) - m.lost[classes]
+        step, border = m.step.reshape(-1), int(m.classes[0])
         for big in batches:
-            for lo in range(0, big.num_rows, 256):
-                b = big.slice(lo, 256)
-                texts = [[*lower_words(t.as_py()), END] for t in b.column(2)]
-                n = np.array([len(t) for t in texts])
-                flat = [w for t in texts for w in t]
-                at = np.cumsum(n) - n
-                rows, u = m.units(flat)
-                known = rows >= 0
-                k = m.classes[u]
-                last = np.concatenate([[border], k[:-1]])
-                last[at] = border
+            for b in slices(big, 2):
+                flat, ends = [], []
+                for text in b.column(2):
+                    flat += lower_words(text.as_py())
+                    flat.append(END)
+                    ends.append(len(flat))
+                at = np.array([0, *ends[:-1]])
+                code = m.codes(flat)
+                k = classes[code]
+                last = np.concatenate([[border], k[:-1]])  # before a text's first word stands the end, as after its last one
                 total = lambda x: np.add.reduceat(x, at)
-                # a word that no executor has counts as none that occurs; the join adds what it lacks
-                base = total(log1[rows]) - n * whole
-                score = total(m.step[last, k] - m.lost[k] + logb[rows])
-                rare = np.nonzero(~known)[0]
-                words = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.append(at, len(flat))).astype(np.int32)), pa.array([flat[i] for i in rare], pa.binary()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total(known.astype(np.int64))), pa.array(base), pa.array(score), words], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                rare = np.nonzero(code >= known)[0]
+                cuts = np.searchsorted(rare, [0, *ends])
+                words = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array([flat[i] for i in rare], pa.binary()))
+                n = np.diff([0, *ends])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(n - np.diff(cuts)), pa.array(total(base[code])), pa.array(total(step[last * CLASSES + k] + own[code])), words], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = src.schema["id"].dataType.simpleString()
     first = src.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>")

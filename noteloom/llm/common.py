@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _STORED: list[tuple[SparkSession, str]] = []
@@ -46,6 +49,16 @@ def _drop_stored() -> None:
             return
 
 
+def slices(b: pa.RecordBatch, column: int, rows: int = 256, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch: at most so many rows, and texts of so many bytes in all unless one text alone has more."""
+    upto = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    at = 0
+    while at < b.num_rows:
+        end = min(max(at + 1, int(np.searchsorted(upto, upto[at] + size, "right")) - 1), at + rows, b.num_rows)
+        yield b.slice(at, end - at)
+        at = end
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, as UTF-8."""
     return text.encode().lower().split() if text else []

@@ -442,7 +442,7 @@ def test_class_lm_scores_by_brute_force(spark, sf, monkeypatch):
     for few in (brown_lm.BROADCAST_WORDS, 1500, 50):
         monkeypatch.setattr(brown_lm, "BROADCAST_WORDS", few)
         model, _ = brown_lm.fit(d.where(gru_lid.remainder(d.doc_id, 7) != 2))
-        of = dict(zip(count, model.classes[model.units(list(count))[1]]))
+        of = dict(zip(count, model.classes[model.units(list(count))]))
         k = brown_lm.CLASSES
         a, types = np.zeros((k, k)), collections.Counter(of.values())
         for i, ws in texts:
@@ -454,7 +454,7 @@ def test_class_lm_scores_by_brute_force(spark, sf, monkeypatch):
         for i, ws in texts:
             want, x = 0.0, of[b""]
             for w in (*ws, b""):
-                y = of[w] if w in of else model.classes[model.units([w])[1][0]]
+                y = of[w] if w in of else model.classes[model.units([w])[0]]
                 want += math.log10((a[x, y] + brown_lm.KAPPA * prior[y]) / (a[x].sum() + brown_lm.KAPPA))
                 want += math.log10((count[w] + brown_lm.BETA) / (a[:, y].sum() + brown_lm.BETA * (types[y] + 1)))
                 x = y
@@ -560,6 +560,6 @@ def test_rare_words_take_classes_of_their_own_contexts(spark, monkeypatch):
     for few in (brown_lm.BROADCAST_WORDS, 30):
         monkeypatch.setattr(brown_lm, "BROADCAST_WORDS", few)
         model, _ = brown_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))
-        _, u = model.units([w.encode() for w in noun + verb])
+        u = model.units([w.encode() for w in noun + verb])
         k = model.classes[u]
         assert len(set(u)) == 120 and not set(k[:60]) & set(k[60:])
