@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import lower_words, slices, stash
+from noteloom.llm.common import slices, stash
 from noteloom.llm.gru_lid import remainder
 
 #: Words that occur so often are units of the clustering by themselves, however many they are; all others go in groups by
@@ -29,7 +30,8 @@ KAPPA, BETA = 5.0, 0.5
 END = b""
 _FLUSH, _MEMO = 600_000, 400_000
 #: Contexts go in parts of about PART_TOKENS tokens, written in packs of whole words of PACK entries or more; BLOCK cells make a part.
-_TOKENS, PART_TOKENS, PACK, BLOCK = 2_000_000, 1_000_000, 16_384, 65_536
+_TOKENS, PART_TOKENS, PACK, BLOCK = 2_000_000, 1_000_000, 16_384, 8192
+_ROWS, _BYTES = 2000, 4_000_000  # of texts that are split at once
 
 
 def group_of(word: bytes) -> int:
@@ -102,12 +104,21 @@ def likelihood(a: np.ndarray) -> float:
     return float(_xlogx(a).sum() - _xlogx(a.sum(axis=0)).sum() - _xlogx(a.sum(axis=1)).sum())
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words without white space of all texts, A-Z lower-cased; how many each text has). Arrow cuts at space and 09 to 0D."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, lens = lists.flatten(), lists.value_lengths().to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)  # an end with white space gives an empty word
+    upto = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+    ends = np.cumsum(lens)
+    return flat.filter(full).cast(pa.binary()), upto[ends] - upto[ends - lens]
+
+
 class _Codes(dict):
-    """Codes of words as they are met: the row of a frequent word, else the number of rows and the unit; the latter are
-    forgotten when many."""
+    """Codes of words that are not frequent, as they are met; forgotten when many."""
 
     def __init__(self, model: Model):
-        super().__init__(model.word)
+        super().__init__()
         self.model = model
 
     def __missing__(self, word: bytes) -> int:
@@ -118,9 +129,8 @@ class _Codes(dict):
             k = int(np.searchsorted(m.far, h))
             if k < len(m.far) and m.far[k] == h:
                 unit = 1 + GROUPS + len(m.unit) + k
-        if len(self) >= len(m.word) + _MEMO:
+        if len(self) >= _MEMO:
             self.clear()
-            self.update(m.word)
         self[word] = len(m.unit) + unit
         return len(m.unit) + unit
 
@@ -129,7 +139,7 @@ class _Codes(dict):
 class Model:
     """What scoring needs besides the counts of rare words. Units: 0 the end, then groups, words, and far words."""
 
-    word: dict[bytes, int]  # frequent words to rows of count and unit
+    words: pa.Array  # frequent ones, the end among them: rows of count and unit
     count: np.ndarray
     unit: np.ndarray
     far: np.ndarray  # sorted hashes of the other words that are units by themselves
@@ -139,38 +149,60 @@ class Model:
     step: np.ndarray | None = None  # log10 P(class | class before)
     lost: np.ndarray | None = None  # log10 of the emission's divisor, by class
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
+    def codes(self, words: pa.Array) -> np.ndarray:
         """The row of each frequent word; of the others, the number of rows and the unit."""
         if "_codes" not in self.__dict__:
             self._codes = _Codes(self)
-        return np.fromiter(map(self._codes.__getitem__, words), np.int64, len(words))
+        seen = words.dictionary_encode()
+        of = pc.fill_null(pc.index_in(seen.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
+        rare = np.nonzero(of < 0)[0]
+        if len(rare):
+            of[rare] = [self._codes[w] for w in seen.dictionary.take(pa.array(rare)).to_numpy(zero_copy_only=False)]
+        return of[seen.indices.to_numpy()]
+
+    def text_codes(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(words of all texts; codes of all, with an end after each text; place of each word among them; ends)."""
+        words, n = split_words(texts)
+        ends = np.cumsum(n + 1)
+        place = np.arange(len(words)) + np.repeat(np.arange(len(n)), n)
+        codes = np.full(len(words) + len(n), self.codes(pa.array([END], pa.binary()))[0])
+        codes[place] = self.codes(words)
+        return words, codes, place, ends
 
     def unit_of(self) -> np.ndarray:
-        """The unit of each code."""
+        """The unit of each code; the end is one wherever it stands."""
         return np.concatenate([self.unit, np.arange(1 + GROUPS + len(self.unit) + len(self.far))])
 
     def units(self, words: list[bytes]) -> np.ndarray:
-        return self.unit_of()[self.codes(words)]
+        return self.unit_of()[self.codes(pa.array(words, pa.binary()))]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_codes"}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["w", "n"])
-        held.clear()
-        return b
-
-    for b in batches:
-        for text in b.column(0):
-            held.update(lower_words(text.as_py()))
-            held[END] += 1
-            if len(held) > _FLUSH:
-                yield out()
-    yield out()
+    held, rows = [], 0
+    kind = pa.schema([("w", pa.binary()), ("n", pa.int64())])
+
+    def summed() -> pa.Table:
+        got = pa.concat_tables(held).group_by("w", use_threads=False).aggregate([("n", "sum")])
+        return pa.table([got["w"], got["n_sum"]], schema=kind)
+
+    for big in batches:
+        for b in slices(big, 0, _ROWS, _BYTES):
+            words, n = split_words(b.column(0))
+            seen = words.value_counts()
+            held.append(pa.table([seen.field(0), seen.field(1)], schema=kind))
+            held.append(pa.table([[END], [len(n)]], schema=kind))
+            rows += len(seen) + 1
+            if rows > _FLUSH:
+                held = [summed()]
+                rows = held[0].num_rows
+                if rows > _FLUSH // 2:
+                    yield from held.pop().to_batches(max_chunksize=100_000)
+                    rows = 0
+    if held:
+        yield from summed().to_batches(max_chunksize=100_000)
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -253,13 +285,9 @@ def _split(shared, suffix, first: int, parts: int):
                 yield int(part[lo]), keys[lo:hi], None
 
         for big in batches:
-            for b in slices(big, 0):
-                flat: list[bytes] = []
-                for text in b.column(0):
-                    flat += lower_words(text.as_py())
-                    flat.append(END)
-                held.append(model.codes(flat))
-                rows += len(flat)
+            for b in slices(big, 0, _ROWS, _BYTES):
+                held.append(model.text_codes(b.column(0))[1])
+                rows += len(held[-1])
                 if rows > _TOKENS:
                     yield from _packed(_KEYS, out())
                     rows = 0
@@ -462,11 +490,10 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     counts = stash(word_counts(train, text_col), "op8-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") >= OWN_COUNT).cast("long")).alias("own")).first()
     top, count = _frequent(counts)
-    word = {w: i for i, w in enumerate(top)}
     group = np.array([group_of(w) for w in top], np.int64)
     unit = np.where(count >= OWN_COUNT, 1 + GROUPS + np.arange(len(top)), 1 + group).astype(np.int64)
-    if END in word:
-        unit[word[END]] = 0
+    if END in top:
+        unit[top.index(END)] = 0
     own = int((count >= OWN_COUNT).sum())
     alone = min(OWN_UNITS + 1, own)
     first = 1 + GROUPS + alone
@@ -482,7 +509,7 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
         suffix.append(first + got["g"].to_numpy()[at].astype(np.int64))
         side.append((far & 1).astype(np.uint8))
     suffix, side = np.concatenate(suffix), np.concatenate(side)
-    model = Model(word, count, unit, far, int(total["n"] or 0), int(total["v"] or 0))
+    model = Model(pa.array(top, pa.binary()), count, unit, far, int(total["n"] or 0), int(total["v"] or 0))
     shared, near = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(suffix)
     parts = max(1, model.n_tokens // PART_TOKENS)
     with _batches(spark, 64):
@@ -508,7 +535,7 @@ def _types(shared, by_unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, by_code = np.zeros(CLASSES, np.int64), by_unit.value[shared.value.unit_of()]
         for b in batches:
-            v += np.bincount(by_code[shared.value.codes(b.column(0).to_pylist())], minlength=CLASSES)
+            v += np.bincount(by_code[shared.value.codes(b.column(0))], minlength=CLASSES)
         at = np.nonzero(v)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(v[at])], names=["k", "v"])
 
@@ -544,22 +571,17 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         base, own = np.log10(count + 1.0) - np.log10(m.n_tokens + m.n_types + 1.0), np.log10(count + BETA) - m.lost[classes]
         step, border = m.step.reshape(-1), int(m.classes[0])
         for big in batches:
-            for b in slices(big, 2):
-                flat, ends = [], []
-                for text in b.column(2):
-                    flat += lower_words(text.as_py())
-                    flat.append(END)
-                    ends.append(len(flat))
-                at = np.array([0, *ends[:-1]])
-                code = m.codes(flat)
+            for b in slices(big, 2, _ROWS, _BYTES):
+                words, code, place, ends = m.text_codes(b.column(2))
+                at = np.append(0, ends[:-1])
                 k = classes[code]
-                last = np.concatenate([[border], k[:-1]])  # before a text's first word stands the end, as after its last one
+                last = np.append(border, k[:-1])  # before a text's first word stands the end, as after its last one
                 total = lambda x: np.add.reduceat(x, at)
-                rare = np.nonzero(code >= known)[0]
-                cuts = np.searchsorted(rare, [0, *ends])
-                words = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array([flat[i] for i in rare], pa.binary()))
-                n = np.diff([0, *ends])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(n - np.diff(cuts)), pa.array(total(base[code])), pa.array(total(step[last * CLASSES + k] + own[code])), words], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                rare = code[place] >= known
+                cuts = np.searchsorted(place[rare], np.append(0, ends))
+                others = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), words.filter(pa.array(rare)))
+                n = ends - at
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(n - np.diff(cuts)), pa.array(total(base[code])), pa.array(total(step[last * CLASSES + k] + own[code])), others], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = src.schema["id"].dataType.simpleString()
     first = src.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>")
