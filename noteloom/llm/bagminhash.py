@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import lower_words, mix64, stash
+from noteloom.llm.common import discard, join_one, lower_words, mix64, stash
 from noteloom.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -196,7 +196,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts that reach the threshold. Rows come sorted by the first text, whose bag is kept for the next row."""
+    """Pairs of texts that reach the threshold. A row without v brings the text of u for the rows that follow it."""
     last_id, last = None, None
 
     def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -205,18 +205,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         us, vs = [], []
-        for u, v, tu, tv in zip(*(c.to_pylist() if k < 2 else c for k, c in enumerate(b.columns))):
-            if last_id != u:
-                last_id, last = u, bag(tu.as_py())
-            if overlap(last, bag(tv.as_py())) >= THRESHOLD:
+        for u, v, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if v is None:
+                last_id, last = u, bag(text.as_py())
+            elif last_id != u:
+                raise ValueError("a text came before the one that it is held against")
+            elif overlap(last, bag(text.as_py())) >= THRESHOLD:
                 us.append(u)
                 vs.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
+#: A text meets so many others at a time, and two blocks of about TILE texts of a bucket make one group of the pair join.
+CHUNK, TILE = 512, 256
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    both = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-    return both.select("u", "v", "tu", "tv").mapInArrow(_verify, "u long, v long")
+    """The pairs (u, v, n) whose texts reach the threshold; n is about how many partners u has. Each group of about
+    CHUNK partners gets the text of u once, so neither a large bucket's texts nor its first one gather in one task."""
+    pairs = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.expr(f"1 + n div {CHUNK}")).alias("part"))
+    text_of = lambda x: texts.select(F.col("id").alias(x), "text")
+    heads = pairs.select("u", "part").distinct().join(text_of("u"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
+    rows = heads.unionByName(pairs.join(text_of("v"), "v").select("u", "part", "v", "text"))
+    rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    return rows.select("u", "v", "text").mapInArrow(_verify, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,37 +240,52 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     row with a null id links with nothing: component_id null, kept true. Rows that share an id are one document.
     Other columns are ignored; an empty table gives no rows.
 
+    Rows that share an id but not their words are linked by the words of each where they are equal to another
+    text's, and otherwise by the smallest of their texts.
+
     One pass over the texts gives each row the digest of its words and its band keys; copies meet by digest. In
     each band a text is paired with the bucket's smallest one and the pair verified on the whole bags: as many
     pairs as rows, however large the bucket. Buckets that then still hold several classes are settled exactly: all
-    pairs of their texts across classes are verified too, but for those that a bound from weights and bit sets rules
-    out inside the join. Pairs within a class cannot change it and are left out.
+    pairs of their texts across classes are verified too, block by block, but for those that a bound from weights and
+    bit sets rules out inside the join. Pairs within a class cannot change it and are left out.
     """
     signed = stash(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sign, "id long, same binary, bands array<long>, total long, bits array<long>"), "op4-signed")
     usable = signed.where("id is not null and same is not null")
     firsts = usable.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bands", "total", "bits")])
     firsts = stash(firsts, "op4-distinct")
-    copies = usable.join(firsts.where("n > 1").select("same", "first"), "same").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    copies = join_one(usable.select("same", "id"), firsts.where("n > 1").select("same", "first", "n"), "same", "n").select(F.col("id").alias("u"), F.col("first").alias("v"))
     banded = firsts.select(F.col("first").alias("id"), F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").select("band", "head")
-    buckets = stash(banded.join(heads, "band"), "op4-buckets")
+    heads = stash(banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail"), F.count("*").alias("n")).where("head < tail").select("band", "head", "n", F.col("n").alias("size")), "op4-heads")
+    buckets = stash(join_one(banded, heads, "band", "n"), "op4-buckets")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     members = buckets.select("id").distinct()
-    texts = stash(texts.join(members, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "op4-texts")
-    stars = stash(_linked(buckets.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct(), texts), "op4-stars")
+    texts = stash(texts.join(members, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "op4-texts")
+    tried = stash(buckets.where("id <> head").groupBy(F.col("head").alias("u"), F.col("id").alias("v")).agg(F.max("size").alias("n")), "op4-tried")
+    stars = stash(_linked(tried, texts), "op4-stars")
     known = components(stars)
-    classed = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).select("band", "id", "class")
-    mixed = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("band")
-    open_ = stash(classed.join(mixed, "band"), "op4-open")
+    classed = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("class"))
+    mixed = classed.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    mixed = stash(mixed.select("band", "n", F.expr(f"1 + n div {TILE}").alias("blocks")), "op4-mixed")
+    open_ = stash(join_one(classed, mixed, "band", "n"), "op4-open")
     bounds = firsts.select(F.col("first").alias("id"), "total", "bits", "bands", spare(F.col("total"), F.col("bits")).alias("spare"))
-    of = open_.join(bounds, "id")
-    side = lambda x: of.select("band", F.col("id").alias(x), F.col("class").alias(f"c{x}"), F.col("total").alias(f"n{x}"), F.col("spare").alias(f"r{x}"), F.col("bits").alias(f"b{x}"), F.col("bands").alias(f"s{x}"))
-    # of the buckets that two texts share, only the first makes the pair
+    of = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(bounds, "id")
+
+    def side(x: str, lo: Column, hi: Column, other: Column) -> DataFrame:
+        return of.withColumn("other", F.explode(other)).select("band", lo.alias("lo"), hi.alias("hi"), F.col("id").alias(x), F.col("class").alias(f"c{x}"), F.col("total").alias(f"n{x}"), F.col("spare").alias(f"r{x}"), F.col("bits").alias(f"b{x}"), F.col("bands").alias(f"s{x}"))
+
+    block, other = F.col("block"), F.col("other")
+    left, right = side("u", block, other, F.sequence(block, F.col("blocks") - 1)), side("v", other, block, F.sequence(F.lit(0).cast("long"), block))
+    # of the buckets that two texts share, only the first makes the pair; a block meets itself once
     once = F.array_min(F.array_intersect("su", "sv")) == F.col("band")
-    rest = side("u").join(side("v"), "band").where((F.col("cu") < F.col("cv")) & may_reach("u", "v", spares=(F.col("ru"), F.col("rv"))) & once).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    tried = buckets.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
-    more = stash(_linked(rest.join(tried, ["u", "v"], "left_anti"), texts), "op4-more")
+    across = (F.col("cu") < F.col("cv")) | (F.col("cu") > F.col("cv")) & (F.col("lo") < F.col("hi"))
+    rest = left.join(right, ["band", "lo", "hi"]).where(across & may_reach("u", "v", spares=(F.col("ru"), F.col("rv"))) & once)
+    rest = stash(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "op4-rest")
+    partners = rest.groupBy("u").agg(F.count("*").alias("n"), F.count("*").alias("k"))
+    more = stash(_linked(join_one(rest, partners, "u", "k"), texts), "op4-more")
+    discard(buckets, heads, texts, tried, mixed, open_, rest)
     comp = components(stars.unionByName(more).unionByName(copies))
     out = signed.select("id").join(comp.withColumnRenamed("node", "id"), "id", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    out = stash(out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "op4-classes")
+    discard(signed, firsts, stars, more)
+    return out

@@ -1,24 +1,30 @@
-"""What the operators of this package share: stored intermediates, hashing and word splitting."""
+"""What the operators of this package share: stored intermediates, joins on hot keys, hashing and word splitting."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _STORED: list[tuple[SparkSession, str]] = []
+_PATH_OF: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only where it is unset and Spark runs in one
+    process, as in tests, a temporary folder takes its place; on a cluster that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="noteloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,16 +41,51 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATH_OF[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what stash wrote, once nothing reads it any more."""
+    for df in stored:
+        if path := _PATH_OF.pop(df, None):
+            _STORED.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
+
+
+#: A key that more rows share is a hot one; of these the hottest HOT_KEYS are broadcast.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, n: str, keys: int = HOT_KEYS, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join with a table that has each key once and, as n, how many rows of `many` share it (n is left out).
+
+    Rows of the hottest keys, those that more than `hot` rows share and at most `keys` of them, meet these by a
+    broadcast where they are; only the others are shuffled. Both tables are read twice. Null keys meet nothing.
+    """
+    spark, kind = one.sparkSession, one.schema
+    found = one.where(F.col(n) > hot).orderBy(F.desc(n), key).limit(keys).collect()
+    if not found:
+        return many.join(one.drop(n), key)
+    small = spark.createDataFrame(found, kind).drop(n)
+    met = many.join(F.broadcast(small), key)
+    if hot == 0 and len(found) < keys:  # that was all of them
+        return met
+    rest = many.join(F.broadcast(small.select(key)), key, "left_anti")
+    return met.unionByName(rest.join(one.drop(n), key))
 
 
 @atexit.register
 def _drop_stored() -> None:
     for spark, path in _STORED:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM has gone: the shared folder's owner cleans up
             return
 

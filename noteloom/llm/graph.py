@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import stash
+from noteloom.llm.common import discard, join_one, stash
 
 CHUNK = 200_000
 
@@ -48,23 +48,31 @@ def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield stars(x["u"].to_numpy(), x["v"].to_numpy())
 
 
+def _lowest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((u, v, m) for each edge: m is the smallest neighbour of u, or u itself; a stored table behind it). Edges of hubs
+    are not shuffled."""
+    low = stash(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-low")
+    return join_one(edges, low, "u", "n").select("u", "v", F.least("u", "m").alias("m")), low
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs to (node, component): for every node of an edge the smallest node it reaches.
 
     Nulls and loops link nothing; repeated edges count once; no edges give no rows. Nothing is gathered on the
-    driver but a count and a checksum for each round. Aggregations combine before the shuffle and meet the edges
-    again in plain equi-joins, so a hub's rows can be split.
+    driver but counts, a checksum for each round and the hottest nodes (at most HOT_KEYS), whose edges meet them by a
+    broadcast; all others are combined before the shuffle and joined by it.
     """
     e = edges.where("u is not null and v is not null and u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
     e = stash(e.mapInPandas(_contract, "u long, v long").distinct(), "cc")
     seen = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = stash(small.select("x.u", "x.v").where("u <> v").distinct(), "cc")
+        met, low = _lowest(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = stash(met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
+        discard(low)
+        met, low = _lowest(large)
+        small = met.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        old, e = e, stash(small.select("x.u", "x.v").where("u <> v").distinct(), "cc")
+        discard(low, large, old)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(pmod(hash(u, v), 65536) as long))")).first()
         if now == seen:
             break

@@ -509,7 +509,7 @@ def test_mixing(spark, odd, none, sf):
                     open_.discard(s)
         for s in names:
             assert all(abs(r["target"] - target[s]) < 1e-6 * max(1, target[s]) and r["taken"] <= 3 * r["size"] for r in by[s])
-            assert abs(sum(r["taken"] for r in by[s]) - target[s]) <= max(r["size"] for r in by[s]) / 2 + 1e-6
+            assert abs(sum(r["taken"] for r in by[s]) - target[s]) < 1 + 1e-6 * target[s]
     assert mixing.mix(none).count() == 0
 
 
