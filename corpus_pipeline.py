@@ -3,49 +3,57 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm import bagminhash, bpe, gru_lid, mixing
-from noteloom.llm.common import stash
+from noteloom.llm.common import discard, stash
 
 #: Documents whose best language has less of the pooled probability are rejected, as are those without a letter.
 LEAST_LANGUAGE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; trained on those whose crc32(doc_id) mod 3 is not 1."""
+    """Documents in a learned language; trained on those whose crc32(doc_id) mod 3 is not 1.
+
+    Rows are judged one by one, repeated ones and those with a null id too; a null text, or one without a letter, goes.
+    """
     net = gru_lid.train(docs.where(gru_lid.remainder(F.col("doc_id"), 3) != 1))
     own = docs.select(F.struct(*docs.columns).alias("_d"), F.col("text").alias("_text"))
     found = gru_lid.identify(own, net, "_text").where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
     return found.select("_d.*")
 
 
+#: Up to so many ids of documents that go, or that several rows share, are broadcast (8 bytes each); beyond, documents are shuffled.
+BROADCAST_IDS = 4_000_000
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest id, once if its row is repeated.
+    """One document of each class of near-duplicates: the one with the smallest id.
 
-    Documents with a null id belong to no class and stay.
+    Of rows that share an id the smallest, column by column, stays. Documents with a null id belong to no class and stay.
     """
-    found = stash(bagminhash.near_duplicates(docs).where("doc_id is not null"), "dedup")
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti") if docs.columns[0] == "doc_id" else docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(*docs.columns)
-    once = left.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
-    return single.unionByName(once)
+    found = bagminhash.near_duplicates(docs).where("doc_id is not null")
+    marks = found.groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("not _kept or _n > 1").select("doc_id", "_kept")
+    marks = stash(marks, "marks")
+    discard(found)
+    few = marks.count() <= BROADCAST_IDS
+    marked = lambda which: F.broadcast(marks.where(which).select("doc_id")) if few else marks.where(which).select("doc_id")
+    own = docs.select(F.col("doc_id"), F.struct(*docs.columns).alias("_row"))
+    once = own.join(marked("_kept"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_row").alias("_row"))
+    return own.join(marked("true"), "doc_id", "left_anti").select("_row.*").unionByName(once.select("_row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: not at all to three times."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    taken = taken.groupBy("_id").agg(F.max("_times").alias("_times"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Documents as often as the mix of sources takes them: not at all to three times, and whole.
+
+    A null source is a source of its own; rows with a null id, or that share one, are documents like any other.
+    """
+    return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and the ids of every document."""
+    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and the ids of every row, a null text being empty."""
     keep = tuple(c for c in ("lang", "source") if c in docs.columns)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, keep=keep)
 
@@ -59,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stash(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, stash(stage(spark, docs, sf_dir), f"stage{k}")
+        discard(before)
     return docs
