@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import discard, join_one, lower_words, mix64, stash
+from noteloom.llm.common import discard, join_one, lower_words, mix64, released, slices, stash
 from noteloom.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: Two texts of similarity s agree in a band with probability s**ROWS; 1 - (1 - 0.8**5)**32 = 0.999997.
 BANDS, ROWS = 32, 5
-_WORD_MEMO = 400_000
+_WORD_MEMO = 250_000
 
 
 class _Hashes(dict):
@@ -183,8 +183,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
-        for at in range(0, big.num_rows, 512):
-            b = big.slice(at, 512)
+        for b in slices(big, 1, 512, 1_000_000):
             words = [lower_words(t.as_py()) for t in b.column(1)]
             same = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
             docs = [word_hashes(w) for w in words]
@@ -228,7 +227,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     heads = pairs.select("u", "part").distinct().join(text_of("u"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "text")
     rows = heads.unionByName(pairs.join(text_of("v"), "v").select("u", "part", "v", "text"))
     rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
-    return rows.select("u", "v", "text").mapInArrow(_verify, "u long, v long")
+    return rows.select("u", "v", "text").mapInArrow(released(_verify, _hash_of), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,11 +248,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs of their texts across classes are verified too, block by block, but for those that a bound from weights and
     bit sets rules out inside the join. Pairs within a class cannot change it and are left out.
     """
-    signed = stash(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sign, "id long, same binary, bands array<long>, total long, bits array<long>"), "op4-signed")
+    signed = stash(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(_sign, _hash_of), "id long, same binary, bands array<long>, total long, bits array<long>"), "op4-signed")
     usable = signed.where("id is not null and same is not null")
     firsts = usable.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bands", "total", "bits")])
     firsts = stash(firsts, "op4-distinct")
-    copies = join_one(usable.select("same", "id"), firsts.where("n > 1").select("same", "first", "n"), "same", "n").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    copies = join_one(usable.select("same", "id"), firsts.select("same", "first", "n").where("n > 1"), "same", "n").select(F.col("id").alias("u"), F.col("first").alias("v"))
     banded = firsts.select(F.col("first").alias("id"), F.explode("bands").alias("band"))
     heads = stash(banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail"), F.count("*").alias("n")).where("head < tail").select("band", "head", "n", F.col("n").alias("size")), "op4-heads")
     buckets = stash(join_one(banded, heads, "band", "n"), "op4-buckets")
@@ -280,9 +279,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     across = (F.col("cu") < F.col("cv")) | (F.col("cu") > F.col("cv")) & (F.col("lo") < F.col("hi"))
     rest = left.join(right, ["band", "lo", "hi"]).where(across & may_reach("u", "v", spares=(F.col("ru"), F.col("rv"))) & once)
     rest = stash(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"), "op4-rest")
-    partners = rest.groupBy("u").agg(F.count("*").alias("n"), F.count("*").alias("k"))
+    partners = stash(rest.groupBy("u").agg(F.count("*").alias("n"), F.count("*").alias("k")), "op4-partners")
     more = stash(_linked(join_one(rest, partners, "u", "k"), texts), "op4-more")
-    discard(buckets, heads, texts, tried, mixed, open_, rest)
+    discard(buckets, heads, texts, tried, mixed, open_, rest, partners)
     comp = components(stars.unionByName(more).unionByName(copies))
     out = signed.select("id").join(comp.withColumnRenamed("node", "id"), "id", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))

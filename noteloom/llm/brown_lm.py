@@ -7,7 +7,6 @@ import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import slices, stash
+from noteloom.llm.common import released, slices, small_batches, stash
 from noteloom.llm.gru_lid import remainder
 
 #: Words that occur so often are units of the clustering by themselves, however many they are; all others go in groups by
@@ -207,7 +206,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     """(w, n) over all texts; the empty word stands for the end of a text."""
-    return df.select(text_col).mapInArrow(_count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return df.select(text_col).mapInArrow(released(_count), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def _far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,18 +215,6 @@ def _far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes(words).view(np.int64)), pa.array([group_of(w) for w in words], pa.int16())], names=["h", "g"])
 
 
-@contextmanager
-def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows that hold packed arrays go to Python a few at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
-
-
 _KEYS = "part int, keys binary, n binary"
 _PACK = "part int, w binary, lens binary, o binary, n binary"
 
@@ -342,7 +329,7 @@ def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 def _summed(contexts: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
     """(i, x) that tasks give, x summed for each i."""
-    with _batches(contexts.sparkSession, 64):
+    with small_batches(contexts.sparkSession, 64):
         got = contexts.select("w", "lens", "o", "n").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
     return got["i"].to_numpy(), got["x"].to_numpy()
 
@@ -512,9 +499,8 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     model = Model(pa.array(top, pa.binary()), count, unit, far, int(total["n"] or 0), int(total["v"] or 0))
     shared, near = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(suffix)
     parts = max(1, model.n_tokens // PART_TOKENS)
-    with _batches(spark, 64):
-        split = train.select(text_col).mapInArrow(_split(shared, near, first, parts), _KEYS)
-        grams = stash(split.repartition(parts + 1, "part").mapInArrow(_merge, _PACK), "op8-contexts")
+    split = train.select(text_col).mapInArrow(released(_split(shared, near, first, parts)), _KEYS)
+    grams = stash(split.repartition(parts + 1, "part").mapInArrow(released(_merge), _PACK), "op8-contexts", rows=64)
     cells = np.zeros((first + GROUPS) ** 2)
     for r in grams.where("part < 0").toLocalIterator():
         cells[np.frombuffer(r["w"], np.int64)] = np.frombuffer(r["n"], np.int64)
@@ -584,7 +570,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(n - np.diff(cuts)), pa.array(total(base[code])), pa.array(total(step[last * CLASSES + k] + own[code])), others], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = src.schema["id"].dataType.simpleString()
-    first = src.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>")
+    first = src.mapInArrow(released(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>")
     first = stash(first.withColumn("row", F.monotonically_increasing_id()), "op8-first")
     rare = first.select("row", F.explode("rare").alias("w"))
     c = F.col("n")

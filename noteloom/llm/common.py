@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+#: Rows of a batch that Python gets while a table is stored.
+BATCH_ROWS = 1000
+
+
+def stash(df: DataFrame, tag: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATH_OF[out] = path
     return out
@@ -63,22 +70,49 @@ def discard(*stored: DataFrame) -> None:
 HOT_ROWS, HOT_KEYS = 1000, 100_000
 
 
-def join_one(many: DataFrame, one: DataFrame, key: str, n: str, keys: int = HOT_KEYS, hot: int = HOT_ROWS) -> DataFrame:
-    """Inner join with a table that has each key once and, as n, how many rows of `many` share it (n is left out).
+def join_one(many: DataFrame, one: DataFrame, key: str, n: str, keys: int = HOT_KEYS, hot: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """Join (inner or left) with a stored table that has each key once and, as n, how many rows of `many` share it (n is
+    left out).
 
     Rows of the hottest keys, those that more than `hot` rows share and at most `keys` of them, meet these by a
     broadcast where they are; only the others are shuffled. Both tables are read twice. Null keys meet nothing.
     """
-    spark, kind = one.sparkSession, one.schema
-    found = one.where(F.col(n) > hot).orderBy(F.desc(n), key).limit(keys).collect()
+    small = one.where(F.col(n) > hot).orderBy(F.desc(n), key).limit(keys).drop(n)
+    found = small.count()
     if not found:
-        return many.join(one.drop(n), key)
-    small = spark.createDataFrame(found, kind).drop(n)
-    met = many.join(F.broadcast(small), key)
-    if hot == 0 and len(found) < keys:  # that was all of them
-        return met
+        return many.join(one.drop(n), key, how)
+    if hot == 0 and found < keys:  # that is all of them
+        return many.join(F.broadcast(small), key, how)
     rest = many.join(F.broadcast(small.select(key)), key, "left_anti")
-    return met.unionByName(rest.join(one.drop(n), key))
+    return many.join(F.broadcast(small), key).unionByName(rest.join(one.drop(n), key, how))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows that are large, or packed arrays, go to Python a few at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def released(run, *memos: dict):
+    """run, a function over batches, that hands memory back when a task ends: workers live on between tasks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for m in memos:
+                m.clear()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
 
 
 @atexit.register

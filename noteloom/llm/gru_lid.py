@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteloom.llm.common import released, slices
+
 #: Hidden units for each direction and bytes of a window.
 HIDDEN, WINDOW = 8, 64
 #: The network is fitted on windows of so many labelled texts, an equal part of each language but LEAST_TEXTS of each at
@@ -252,13 +254,12 @@ def identify(df: DataFrame, net: ByteGRU, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for lo in range(0, big.num_rows, 512):
-                b = big.slice(lo, 512)
+            for b in slices(big, at, 512):
                 got = shared.value.predict(b.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return df.mapInArrow(released(run), f"{schema}, lang_pred string, score double")
 
 
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
