@@ -71,6 +71,8 @@ class PrefixEncoder:
         self._fits: dict[int, bool] = {}
         self._found = ahocorasick.Automaton()
         for b, i in ranks.items():
+            if len(b) > 1 and i not in self.halves:
+                continue  # no merge makes it: it stands for a whole piece alone
             self._found.add_word(b.decode("latin-1"), (len(b), i))
         self._found.make_automaton()
 
