@@ -21,6 +21,8 @@ TEMPLATES = (
     ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
     ("lgpl-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),
+    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
@@ -30,7 +32,7 @@ TEMPLATES = (
     ("no-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
 )
 
-#: A match counts for a span from so many words, or when it is a whole template; matches of one template not farther apart are chained.
+#: A match counts for a span from so many words, or when it is a whole template; matches of one template not farther apart in the text are chained.
 LEAST_WORDS, GAP = 5, 8
 #: A template's label is given when its chained spans cover at least this share of its words.
 COVERED = 0.6
@@ -124,67 +126,98 @@ class Scanner:
         self.names = [x for x, _ in templates]
         self.phrases = [words_of(p) for p, _ in phrases]
         self.templates = [words_of(t) for _, t in templates]
-        self.short = {len(t) for t in self.templates if len(t) < LEAST_WORDS}
         a = self.automaton = Automaton(self.templates + self.phrases)
-        ends: dict[int, list[int]] = {}
-        for k, p in enumerate(self.phrases):
-            ends.setdefault(a.state_of(p), []).append(k)
-        # the phrases whose words end a state's words, by its suffix links
+        # the phrases and short templates whose words end a state's words, by its suffix links
+        whole: dict[int, list[int]] = {}
+        self.wholes = [*self.phrases, *(t for t in self.templates if len(t) < LEAST_WORDS)]
+        short = [k for k, t in enumerate(self.templates) if len(t) < LEAST_WORDS]
+        for k, p in enumerate(self.wholes):
+            whole.setdefault(a.state_of(p), []).append(k)
         self.ends = [()] * len(a.next)
+        below: list[list[int]] = [[] for _ in a.next]
         for s in sorted(range(1, len(a.next)), key=lambda s: a.length[s]):
-            self.ends[s] = (*ends.get(s, ()), *(self.ends[a.link[s]] if a.link[s] > 0 else ()))
-        # all places of a state's words: its own and those of the states that link to it
-        self.where: list[list[tuple[int, int]]] = [[] for _ in a.next]
+            self.ends[s] = (*whole.get(s, ()), *(self.ends[a.link[s]] if a.link[s] > 0 else ()))
+            below[a.link[s]].append(s)
+        self.short_of = {len(self.phrases) + i: k for i, k in enumerate(short)}
+        # each prefix of a template ends at one state; in the order of the link tree the places of a state's words lie together
+        own: list[list[tuple[int, int]]] = [[] for _ in a.next]
         for t, path in enumerate(a.paths[: len(self.templates)]):
             for i, s in enumerate(path):
-                while s > 0:
-                    self.where[s].append((t, i + 1))
-                    s = a.link[s]
+                own[s].append((t, i + 1))
+        self.at: list[tuple[int, int]] = []
+        self.low, self.high = [0] * len(a.next), [0] * len(a.next)
+        stack = [(0, False)]
+        while stack:
+            s, left = stack.pop()
+            if left:
+                self.high[s] = len(self.at)
+                continue
+            self.low[s] = len(self.at)
+            self.at += own[s]
+            stack.append((s, True))
+            stack += [(c, False) for c in below[s]]
+
+    def places_of(self, s: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(template, end, length) of all places where a template's words before the end equal the last ones of the text,
+        as many as go, LEAST_WORDS or more."""
+        link, length = self.automaton.link, self.automaton.length
+        lo = hi = self.low[s]
+        while s > 0 and n >= LEAST_WORDS:
+            for k in (*range(self.low[s], lo), *range(hi, self.high[s])):
+                yield *self.at[k], n
+            lo, hi = self.low[s], self.high[s]
+            s = link[s]
+            n = length[s]
 
     def scan(self, text: str | None) -> Found:
         words = words_of(text)
-        places, matches, before = [], [], None
+        places, spans, parts = [], [], {}
         for i, s, n in self.automaton.statistics(words):
             for k in self.ends[s]:
-                if n >= len(self.phrases[k]):
-                    places.append((i - len(self.phrases[k]) + 1, self.labels[k]))
-            # a match is as long as it gets where the next word does not continue it
-            if before is not None and not (i == before[0] + 1 and n == before[2] + 1):
-                matches.append(before)
-            before = (i, s, n)
-        if before is not None:
-            matches.append(before)
-        return Found(len(words), tuple(sorted(places)), self._chain(matches))
-
-    def _chain(self, matches: list[tuple[int, int, int]]) -> tuple[tuple[str, int, int, float], ...]:
-        """Spans of the text that follow a template's words in order, from matches that lie close and ahead in it."""
-        parts: dict[int, list[tuple[int, int, int]]] = {}
-        for i, s, n in matches:
-            if n < LEAST_WORDS and n not in self.short:
-                continue
-            for t, end in self.where[s]:
-                if n >= LEAST_WORDS or n == len(self.templates[t]):
-                    parts.setdefault(t, []).append((i - n + 1, end - n, n))
-        out = []
+                if n >= len(self.wholes[k]):
+                    start = i - len(self.wholes[k]) + 1
+                    if k < len(self.phrases):
+                        places.append((start, self.labels[k]))
+                    else:
+                        spans.append((self.names[self.short_of[k]], start, i + 1, 1.0))
+            if n >= LEAST_WORDS:
+                after = words[i + 1] if i + 1 < len(words) else None
+                for t, end, m in self.places_of(s, n):
+                    of = self.templates[t]
+                    if end == len(of) or of[end] != after:  # a match is as long as it gets
+                        parts.setdefault(t, []).append((i - m + 1, end - m, m))
         for t, found in parts.items():
-            chain: list[tuple[int, int, int]] = []
-            for start, at, n in sorted(found):
-                if chain:
-                    s, a, m = chain[-1]
-                    if start - (s + m) <= GAP and at >= a + m and start >= s + m:
-                        chain.append((start, at, n))
-                        continue
-                    if start < s + m and n <= m:
-                        continue
-                    self._close(t, chain, out)
-                chain = [(start, at, n)]
-            self._close(t, chain, out)
-        return tuple(sorted(out, key=lambda x: (x[1], x[0], x[2])))
-
-    def _close(self, t: int, chain: list[tuple[int, int, int]], out: list) -> None:
-        share = sum(n for _, _, n in chain) / len(self.templates[t])
-        if share >= COVERED:
-            out.append((self.names[t], chain[0][0], chain[-1][0] + chain[-1][2], min(1.0, share)))
+            spans += [(self.names[t], a, e, n / len(self.templates[t])) for a, e, n in chains(found, COVERED * len(self.templates[t]))]
+        return Found(len(words), tuple(sorted(places)), tuple(sorted(spans, key=lambda x: (x[1], x[0], x[2]))))
+
+
+def chains(matches: list[tuple[int, int, int]], least: float, gap: int | None = None) -> list[tuple[int, int, int]]:
+    """(first word, end, words covered) of the best chains that cover least words or more, none over another's words.
+
+    A match is (start in the text, start in the template, length). A chain's matches follow each other in both; where
+    one begins before the last one ends, in either, only its words after that count. In the text at most gap words lie
+    between them, in the template any number. The best chain is the one that covers most words, by dynamic programming
+    over the matches; ties go to the one that ends, then starts, first.
+    """
+    gap = GAP if gap is None else gap
+    done: list[tuple[int, int, int, int, int]] = []  # covered words, first word, end of each best chain; its match
+    active: list[int] = []
+    matches = sorted(matches)
+    for start, at, n in matches:
+        best, first = n, start
+        active = [j for j in active if matches[j][0] + matches[j][2] + gap >= start]
+        for j in active:
+            s, a, m = matches[j]
+            over = max(0, s + m - start, a + m - at)
+            if over < n and start - (s + m) <= gap and (start > s or at > a) and start >= s and at >= a and done[j][0] + n - over > best:
+                best, first = done[j][0] + n - over, done[j][1]
+        active.append(len(done))
+        done.append((best, first, start + n, at, len(done)))
+    out: list[tuple[int, int, int]] = []
+    for n, a, e, *_ in sorted((d for d in done if d[0] >= least), key=lambda d: (-d[0], d[2], d[1])):
+        if all(e <= x or a >= y for x, y, _ in out):
+            out.append((a, e, n))
+    return out
 
 
 _scanners: dict = {}

@@ -346,6 +346,56 @@ def test_licenses(spark, odd, none, sf):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_chains_are_the_best_ones(monkeypatch):
+    """Labels and shares against all matches and all chains, on random templates full of repeats."""
+    monkeypatch.setattr(license_scan, "LEAST_WORDS", 2)
+    monkeypatch.setattr(license_scan, "GAP", 3)
+    rng = np.random.default_rng(21)
+    word = lambda n, k=4: [chr(97 + int(x)) for x in rng.integers(0, k, n)]
+
+    def best(text, template):
+        found = []
+        for i in range(len(text)):
+            for j in range(len(template)):
+                if text[i] == template[j] and not (i and j and text[i - 1] == template[j - 1]):
+                    n = 1
+                    while i + n < len(text) and j + n < len(template) and text[i + n] == template[j + n]:
+                        n += 1
+                    if n >= 2:
+                        found.append((i, j, n))
+
+        def follow(x):
+            most = x[2]
+            for y in found:
+                over = max(0, x[0] + x[2] - y[0], x[1] + x[2] - y[1])
+                if y != x and y[0] >= x[0] and y[1] >= x[1] and over < y[2] and y[0] - x[0] - x[2] <= 3:
+                    most = max(most, x[2] + follow(y) - over)
+            return most
+
+        return max(map(follow, found), default=0)
+
+    for _ in range(150):
+        templates = [word(int(rng.integers(2, 16))) for _ in range(3)]
+        t = templates[0]
+        cut = int(rng.integers(0, len(t) + 1))
+        text = word(4) + t[:cut] + word(int(rng.integers(0, 4)), 6) + t[cut:] + word(5)
+        got = license_scan.Scanner((), tuple((str(k), " ".join(x)) for k, x in enumerate(templates))).scan(" ".join(text))
+        share = {}
+        for name, a, e, r in got.spans:
+            share[name] = max(share.get(name, 0), r)
+        for k, x in enumerate(templates):
+            n = best(text, x) / len(x)
+            assert abs(share.get(str(k), 0) - (n if n >= license_scan.COVERED else 0)) < 1e-9
+
+
+def test_repeated_phrases_of_a_template_are_chained():
+    a, f, g = "one two three four five six".split(), [f"f{i}" for i in range(6)], [f"g{i}" for i in range(4)]
+    scanner = license_scan.Scanner((), (("x", " ".join(a + f + a + g)),))
+    for text in (a + f + ["new", "words"] + a + g, a + f[:3] + ["new"] + f[3:] + a + g, f[1:] + ["new"] + a + g):
+        (name, first, end, share), *more = scanner.scan(" ".join(text)).spans
+        assert (name, first, end, more) == ("x", 0, len(text), []) and share >= 15 / 22
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(9)
     word = lambda n: [bytes([97 + int(x)]) for x in rng.integers(0, 3, n)]
