@@ -12,9 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.llm.common import join_one, stash
+
 MIN, MAX, MASK_BITS = 256, 8192, 10
 #: Up to so many shared chunk digests (8 bytes of each) go to every executor; beyond, every chunk goes to the chunk table.
 BROADCAST_SHARED = 2_000_000
+#: So many chunks (of MAX bytes at most) that more than 1000 distinct media share are broadcast to those that want them.
+HOT_CHUNKS = 2000
 RATE = 8000
 
 
@@ -74,7 +78,7 @@ def _prefix(d: bytes) -> int:
 def store(df: DataFrame, id_col: str, source_col: str, path: str, payload: Callable = text_payload) -> None:
     """Write the media of each row as content-defined chunks below path.
 
-    `manifests`: one row per input row with its length, its digest and, in order, the digest, length and, where no
+    `manifests`: one row per input row with its length, its header, its digest and, in order, the digest, length and, where no
     other place has the same chunk, the bytes of its chunks. `chunks`: every chunk that two places share, once.
     First the digests alone are counted by a Spark aggregation; which are shared is what decides where bytes go, so
     bytes of unshared chunks never leave their row. Where the shared digests are too many to send out, all chunks
@@ -104,7 +108,7 @@ def store(df: DataFrame, id_col: str, source_col: str, path: str, payload: Calla
     def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for text in b.column(1):
                 data, raw = payload(text.as_py())
                 ds, lens, own, at = [], [], [], 0
@@ -124,15 +128,16 @@ def store(df: DataFrame, id_col: str, source_col: str, path: str, payload: Calla
                     if not s:
                         own.append(data[at : at + n])
                     at += n
-                media = hashlib.sha256(wav_header(len(data)))
+                head = wav_header(len(data))
+                media = hashlib.sha256(head)
                 media.update(data)
-                for c, v in zip(cols, (raw, media.digest(), [d if s else None for d, s in zip(ds, is_shared)], lens, b"".join(own), bool(is_shared.any()))):
+                for c, v in zip(cols, (raw, head, media.digest(), [d if s else None for d, s in zip(ds, is_shared)], lens, b"".join(own), bool(is_shared.any()))):
                     c.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id", "raw", "sha", "refs", "lens", "own", "has_refs"])
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["id", "raw", "head", "sha", "refs", "lens", "own", "has_refs"])
 
     id_type = src.schema["id"].dataType.simpleString()
-    made = src.mapInArrow(manifest, f"id {id_type}, raw long, sha binary, refs array<binary>, lens array<int>, own binary, has_refs boolean")
+    made = src.mapInArrow(manifest, f"id {id_type}, raw long, head binary, sha binary, refs array<binary>, lens array<int>, own binary, has_refs boolean")
     made.withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/manifests")
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,25 +182,24 @@ def load(spark: SparkSession, path: str, derive: Callable[[bytes, int, bytes], t
     m = spark.read.parquet(f"{path}/manifests")
     n_out = len(pa_fields(derived))
 
-    def build(own: bytes, refs, lens, parts: dict[int, bytes]) -> bytes:
-        out, at = [], 0
+    def build(head: bytes, own: bytes, refs, lens, parts: dict[int, bytes]) -> bytes:
+        out, at = [head], 0
         for i, (d, n) in enumerate(zip(refs, lens)):
             if d is None:
                 out.append(own[at : at + n])
                 at += n
             else:
                 out.append(parts[i])
-        data = b"".join(out)
-        return wav_header(len(data)) + data
+        return b"".join(out)
 
-    def finish(keep: int, with_parts: bool):
+    def finish(with_parts: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 get = {n: b.column(n) for n in b.schema.names}
                 values = []
                 for i in range(b.num_rows):
                     parts = {p["i"]: p["bytes"] for p in get["parts"][i].as_py()} if with_parts else {}
-                    media = build(get["own"][i].as_py(), get["refs"][i].as_py(), get["lens"][i].as_py(), parts)
+                    media = build(get["head"][i].as_py(), get["own"][i].as_py(), get["refs"][i].as_py(), get["lens"][i].as_py(), parts)
                     sha = get["sha"][i].as_py()
                     if hashlib.sha256(media).digest() != sha:
                         raise ValueError("stored media differ from what was written")
@@ -207,19 +211,20 @@ def load(spark: SparkSession, path: str, derive: Callable[[bytes, int, bytes], t
         return run
 
     assert n_out
-    alone = m.where("not has_refs").select("id", "raw", "sha", "refs", "lens", "own").mapInArrow(finish(1, False), f"id {id_type}, {derived}")
-    # media that are equal have equal manifests: each is put together once, and rows take what it gave
-    joint = m.where("has_refs")
-    key = F.struct("sha", "raw")
-    first = joint.groupBy("sha", "raw").agg(F.min("row").alias("row"))
+    alone = m.where("not has_refs").select("id", "raw", "head", "sha", "refs", "lens", "own").mapInArrow(finish(False), f"id {id_type}, {derived}")
+    # media that are equal have equal manifests: each is put together once, and rows take what it gave. Bytes of the
+    # chunks that most media share, and what the most common media gave, are broadcast; others come by a join.
+    joint = m.where("has_refs").withColumn("k", F.concat("sha", F.col("raw").cast("string").cast("binary")))
+    first = stash(joint.groupBy("k").agg(F.min("row").alias("row"), F.count("*").alias("n")), "op10-media")
     reps = joint.join(first.select("row"), "row", "left_semi")
     wanted = reps.select("row", F.posexplode("refs").alias("i", "d")).where("d is not null")
-    got = wanted.join(spark.read.parquet(f"{path}/chunks"), "d").groupBy("row").agg(F.collect_list(F.struct("i", "bytes")).alias("parts"))
-    built = reps.select("row", "raw", "sha", "refs", "lens", "own").join(got, "row").select("sha", "raw", "refs", "lens", "own", "parts")
-    del key
-    done = built.select(F.struct("sha", "raw").alias("k"), "*").mapInArrow(finish(1, True), f"k struct<sha: binary, raw: bigint>, {derived}")
+    chunks = spark.read.parquet(f"{path}/chunks").join(wanted.groupBy("d").agg(F.count("*").alias("n")), "d")
+    got = join_one(wanted, stash(chunks, "op10-wanted"), "d", "n", keys=HOT_CHUNKS).groupBy("row").agg(F.collect_list(F.struct("i", "bytes")).alias("parts"))
+    built = reps.select("row", "k", "raw", "head", "sha", "refs", "lens", "own").join(got, "row").drop("row")
+    done = built.mapInArrow(finish(True), f"k binary, {derived}")
     names = [n for n, _ in pa_fields(derived)]
-    rows = joint.select("id", "sha", "raw").join(done.select(F.col("k.sha").alias("sha"), F.col("k.raw").alias("raw"), *names), ["sha", "raw"]).select("id", *names)
+    done = stash(done.join(first.select("k", "n"), "k"), "op10-done")
+    rows = join_one(joint.select("id", "k"), done, "k", "n").select("id", *names)
     return alone.unionByName(rows)
 
 
