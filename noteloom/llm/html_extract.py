@@ -5,13 +5,14 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import stash
+from noteloom.llm.common import join_one, released, stash
 
 #: Up to so many hosts their winning paths are broadcast; beyond, they are joined by shuffling.
 BROADCAST_HOSTS = 100_000
@@ -72,7 +73,7 @@ class Page:
         def flush() -> None:
             nonlocal links
             if buffer:
-                text = " ".join(html.unescape("".join(buffer)).split())
+                text = " ".join("".join(buffer).split())
                 if text:
                     self.blocks.append((owner, text, min(links, len(text))))
                 buffer.clear()
@@ -89,7 +90,7 @@ class Page:
             stop = m.start() if m else end
             if stop > at:
                 piece = source[at:stop]
-                buffer.append(piece)
+                buffer.append(html.unescape(piece))  # a reference does not run on across a tag
                 if in_link:
                     links += len(piece.strip())
             if not m:
@@ -235,15 +236,19 @@ def host_column(url: Column) -> Column:
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sums: dict[tuple[str, str], float] = {}
+        pages: Counter = Counter()
         for host, source in zip(b.column(0).to_pylist(), b.column(1)):
             if host:
+                pages[host] += 1
                 page = Page(source.as_py())
                 s = page.scores()
                 if s:
                     k = max(s, key=lambda k: (s[k], -k))
                     key = (host, page.path[k])
                     sums[key] = sums.get(key, 0.0) + math.log1p(s[k])
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array([round(v * 1000) for v in sums.values()], pa.int64())], names=["host", "path", "votes"])
+        rows = [(h, p, round(v * 1000), 0) for (h, p), v in sums.items()] + [(h, None, None, n) for h, n in pages.items()]
+        kinds = (("host", pa.string()), ("path", pa.string()), ("votes", pa.int64()), ("pages", pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -256,12 +261,13 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     the shuffle, so a host with a third of all pages is as many rows as it has paths.
     """
     rows = df.select(F.col(id_col), F.col(url_col).alias("_url"), F.col(html_col).alias("_html")).withColumn("_host", host_column(F.col("_url")))
-    votes = rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")).mapInArrow(_votes, "host string, path string, votes long")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    won = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("x")).select(F.col("host").alias("_host"), F.col("x.path").alias("_path"))
+    votes = rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")).mapInArrow(released(_votes), "host string, path string, votes long, pages long")
+    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
+    best = F.min(F.when(F.col("path").isNotNull(), F.struct((-F.col("votes")).alias("v"), "path")))
+    won = votes.groupBy("host").agg(best.alias("x"), F.sum("pages").alias("_n")).select(F.col("host").alias("_host"), F.col("x.path").alias("_path"), "_n")
     won = stash(won, "op3-paths")
-    small = won.count() <= BROADCAST_HOSTS
-    rows = rows.join(F.broadcast(won) if small else won, "_host", "left")
+    blank = rows.where("_host = ''").withColumn("_path", F.lit(None).cast("string"))
+    rows = join_one(rows.where("_host <> ''"), won, "_host", "_n", keys=BROADCAST_HOSTS, hot=0).unionByName(blank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,4 +275,4 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[b.schema.names[0], "url", "text", "n_chars"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, "_url", "_html", "_path").mapInArrow(run, f"`{id_col}` {kind}, url string, text string, n_chars long")
+    return rows.select(id_col, "_url", "_html", "_path").mapInArrow(released(run), f"`{id_col}` {kind}, url string, text string, n_chars long")
