@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.llm.common import join_one, stash
+
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: The trees are fitted on at most so many labelled URLs, those with the smallest md5.
 SAMPLE = 20_000
@@ -121,13 +123,19 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
     base = _lexical(base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)))
     hosts = base.groupBy("suffix", "host").agg(F.count("*").alias("n"))
     stats = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("hosts"))
-    stats = stats.select(F.col("suffix"), F.log1p("n").alias("suffix_share"), F.log1p("hosts").alias("suffix_hosts"))
-    small = stats.count() <= BROADCAST_SUFFIXES
-    rows = base.join(F.broadcast(stats) if small else stats, "suffix")
+    stats = stash(stats.select(F.col("suffix"), F.log1p("n").alias("suffix_share"), F.log1p("hosts").alias("suffix_hosts"), "n"), "op2-suffixes")
+    rows = join_one(base, stats, "suffix", "n", keys=BROADCAST_SUFFIXES, hot=0)
     of = dict(rules)
     labelled = rows.where(F.col("rule").isNotNull())
     blocked = F.col("rule").isin([r for r, v in of.items() if v == "block"])
-    sample = labelled.select(*FEATURES, blocked.cast("double").alias("y"), F.md5("url").alias("k")).orderBy("k", *FEATURES).limit(SAMPLE).collect()
+    # the smallest keys: only rows below a bound that leaves about twice as many come to the driver's sort
+    bound = 2.0 * SAMPLE / max(1, base.where(F.col("rule").isNotNull()).count())
+    keyed = labelled.select(*FEATURES, blocked.cast("double").alias("y"), F.md5("url").alias("k"))
+    near = keyed.where(F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / 2.0**32 < bound)
+    first = lambda x: x.orderBy("k", *FEATURES).limit(SAMPLE).collect()
+    sample = first(near)
+    if bound < 1 and len(sample) < SAMPLE:  # keys that are not spread, such as few distinct URLs
+        sample = first(keyed)
     x = np.array([[r[f] for f in FEATURES] for r in sample], dtype=np.float64).reshape(len(sample), len(FEATURES))
     bias, trees = fit_trees(x, np.array([r["y"] for r in sample], dtype=np.float64))
     margin = F.lit(bias)
