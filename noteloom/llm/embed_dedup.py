@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import stash
+from noteloom.llm.common import join_one, stash
 from noteloom.llm.graph import components
 
 BLOCK_ROWS = 4096
 PIVOTS = 32
 #: Up to so many blocks, tiles that cannot hold a link are left out before the shuffle; beyond, each task finds that out.
 PLANNED_BLOCKS = 2048
+#: So many vectors at most that more than 1000 rows share are broadcast with their class.
+HOT_VECTORS = 5000
 SLACK = 1e-5  # for float32 scaling, far above its rounding
 
 
@@ -188,7 +190,10 @@ def near_links(df: DataFrame, id_col: str, vec_col: str, threshold: float = 0.95
     comp = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     group = of.groupBy("node", "vec").agg(F.max("n").alias("n")).join(links, "node", "left").join(comp, "node", "left")
-    group = group.select(F.col("node").alias("first"), "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(group.withColumn("fit", F.lit(True)), ["vec", "fit"], "left")
-    out = out.select(F.col("node").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    group = group.select("vec", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    # copies of a common vector meet its group by a broadcast
+    group = stash(group, "op1-classes")
+    out = join_one(rows.where("fit").select("node", "vec"), group, "vec", "n", keys=HOT_VECTORS).select("node", "links", "component")
+    none = rows.where("not fit").select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("component"))
+    out = out.unionByName(none).select(F.col("node").alias(id_col), F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
