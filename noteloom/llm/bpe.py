@@ -13,11 +13,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteloom.llm.common import released
+
 #: Unicode's White_Space, which the tokenizer's own library takes for \s; the regex module adds \x1c-\x1f.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO = 300_000
+MEMO = 150_000
 #: Rows whose ids a worker holds before it hands them on.
 ROWS_AT_ONCE = 256
+#: Pairs of tokens of which a worker remembers whether they may stand side by side.
+FITS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -81,7 +85,7 @@ class PrefixEncoder:
         key = s << 20 | t
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > FITS:
                 self._fits.clear()
             known = self._fits[key] = self._check(s, t)
         return known
@@ -254,4 +258,4 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, id_col: str =
 
     first = df.select(id_col, *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return df.select(id_col, *keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return df.select(id_col, *keep, F.col(text_col).alias("_text")).mapInArrow(released(run), schema)

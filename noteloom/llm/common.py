@@ -134,6 +134,24 @@ def slices(b: pa.RecordBatch, column: int, rows: int = 256, size: int = 2_000_00
         at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of about so many rows, or texts of so many bytes, whatever the batches' sizes."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        out = held[0] if len(held) == 1 else pa.concat_batches(held)
+        held.clear()
+        return out
+
+    for big in batches:
+        for b in slices(big, column, rows, size):
+            held.append(b)
+            if sum(x.num_rows for x in held) >= rows or sum(x.column(column).nbytes for x in held) >= size:
+                yield joined()
+    if held:
+        yield joined()
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, as UTF-8."""
     return text.encode().lower().split() if text else []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +14,12 @@ from noteloom.llm.common import discard, join_one, stash
 CHUNK = 200_000
 
 
-def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace each chunk of edges by the stars of its components, which link the same nodes."""
 
-    def stars(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    def stars() -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+        held.clear()
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         up = list(range(len(nodes)))
         for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
@@ -33,19 +35,17 @@ def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             up[i] = up[x]
         root = np.asarray(up, dtype=np.int64)
         own = root != np.arange(len(nodes))
-        return pd.DataFrame({"u": nodes[own], "v": nodes[root[own]]})
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
 
     held, rows = [], 0
-    for f in frames:
-        held.append(f)
-        rows += len(f)
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
         if rows >= CHUNK:
-            x = pd.concat(held)
-            yield stars(x["u"].to_numpy(), x["v"].to_numpy())
-            held, rows = [], 0
+            yield stars()
+            rows = 0
     if rows:
-        x = pd.concat(held)
-        yield stars(x["u"].to_numpy(), x["v"].to_numpy())
+        yield stars()
 
 
 def _lowest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
     broadcast; all others are combined before the shuffle and joined by it.
     """
     e = edges.where("u is not null and v is not null and u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    e = stash(e.mapInPandas(_contract, "u long, v long").distinct(), "cc")
+    e = stash(e.mapInArrow(_contract, "u long, v long").distinct(), "cc", rows=CHUNK)
     seen = None
     while True:
         met, low = _lowest(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
