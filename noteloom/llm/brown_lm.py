@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import released, slices, small_batches, stash
+from noteloom.llm.common import gathered, released, small_batches, stash
 from noteloom.llm.gru_lid import remainder
 
 #: Words that occur so often are units of the clustering by themselves, however many they are; all others go in groups by
@@ -187,19 +187,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.concat_tables(held).group_by("w", use_threads=False).aggregate([("n", "sum")])
         return pa.table([got["w"], got["n_sum"]], schema=kind)
 
-    for big in batches:
-        for b in slices(big, 0, _ROWS, _BYTES):
-            words, n = split_words(b.column(0))
-            seen = words.value_counts()
-            held.append(pa.table([seen.field(0), seen.field(1)], schema=kind))
-            held.append(pa.table([[END], [len(n)]], schema=kind))
-            rows += len(seen) + 1
-            if rows > _FLUSH:
-                held = [summed()]
-                rows = held[0].num_rows
-                if rows > _FLUSH // 2:
-                    yield from held.pop().to_batches(max_chunksize=100_000)
-                    rows = 0
+    for b in gathered(batches, 0, _ROWS, _BYTES):
+        words, n = split_words(b.column(0))
+        seen = words.value_counts()
+        held.append(pa.table([seen.field(0), seen.field(1)], schema=kind))
+        held.append(pa.table([[END], [len(n)]], schema=kind))
+        rows += len(seen) + 1
+        if rows > _FLUSH:
+            held = [summed()]
+            rows = held[0].num_rows
+            if rows > _FLUSH // 2:
+                yield from held.pop().to_batches(max_chunksize=100_000)
+                rows = 0
     if held:
         yield from summed().to_batches(max_chunksize=100_000)
 
@@ -271,13 +270,12 @@ def _split(shared, suffix, first: int, parts: int):
             for lo, hi in zip(cut, [*cut[1:], len(part)]):
                 yield int(part[lo]), keys[lo:hi], None
 
-        for big in batches:
-            for b in slices(big, 0, _ROWS, _BYTES):
-                held.append(model.text_codes(b.column(0))[1])
-                rows += len(held[-1])
-                if rows > _TOKENS:
-                    yield from _packed(_KEYS, out())
-                    rows = 0
+        for b in gathered(batches, 0, _ROWS, _BYTES):
+            held.append(model.text_codes(b.column(0))[1])
+            rows += len(held[-1])
+            if rows > _TOKENS:
+                yield from _packed(_KEYS, out())
+                rows = 0
         if held:
             yield from _packed(_KEYS, out())
         at = np.nonzero(cells)[0]
@@ -556,18 +554,17 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         count = np.concatenate([m.count, np.zeros(len(unit) - known)])
         base, own = np.log10(count + 1.0) - np.log10(m.n_tokens + m.n_types + 1.0), np.log10(count + BETA) - m.lost[classes]
         step, border = m.step.reshape(-1), int(m.classes[0])
-        for big in batches:
-            for b in slices(big, 2, _ROWS, _BYTES):
-                words, code, place, ends = m.text_codes(b.column(2))
-                at = np.append(0, ends[:-1])
-                k = classes[code]
-                last = np.append(border, k[:-1])  # before a text's first word stands the end, as after its last one
-                total = lambda x: np.add.reduceat(x, at)
-                rare = code[place] >= known
-                cuts = np.searchsorted(place[rare], np.append(0, ends))
-                others = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), words.filter(pa.array(rare)))
-                n = ends - at
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(n - np.diff(cuts)), pa.array(total(base[code])), pa.array(total(step[last * CLASSES + k] + own[code])), others], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+        for b in gathered(batches, 2, _ROWS, _BYTES):
+            words, code, place, ends = m.text_codes(b.column(2))
+            at = np.append(0, ends[:-1])
+            k = classes[code]
+            last = np.append(border, k[:-1])  # before a text's first word stands the end, as after its last one
+            total = lambda x: np.add.reduceat(x, at)
+            rare = code[place] >= known
+            cuts = np.searchsorted(place[rare], np.append(0, ends))
+            others = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), words.filter(pa.array(rare)))
+            n = ends - at
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(n - np.diff(cuts)), pa.array(total(base[code])), pa.array(total(step[last * CLASSES + k] + own[code])), others], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = src.schema["id"].dataType.simpleString()
     first = src.mapInArrow(released(run), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>")
