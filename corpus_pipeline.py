@@ -13,11 +13,21 @@ from noteloom.llm.common import discard, stash
 LEAST_LANGUAGE = 0.4
 
 
+#: Rows of a batch that goes to Python: texts may be long, and four stages share an executor's memory.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """For the write of a stage's result, which happens after its function returns."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; trained on those whose crc32(doc_id) mod 3 is not 1.
 
     Rows are judged one by one, repeated ones and those with a null id too; a null text, or one without a letter, goes.
     """
+    _small_batches(spark)
     net = gru_lid.train(docs.where(gru_lid.remainder(F.col("doc_id"), 3) != 1))
     own = docs.select(F.struct(*docs.columns).alias("_d"), F.col("text").alias("_text"))
     found = gru_lid.identify(own, net, "_text").where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
@@ -54,6 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and the ids of every row, a null text being empty."""
+    _small_batches(spark)
     keep = tuple(c for c in ("lang", "source") if c in docs.columns)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, keep=keep)
 
