@@ -17,11 +17,11 @@ from noteloom.llm.common import released
 
 #: Unicode's White_Space, which the tokenizer's own library takes for \s; the regex module adds \x1c-\x1f.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO = 150_000
+MEMO = 300_000
 #: Rows whose ids a worker holds before it hands them on.
 ROWS_AT_ONCE = 256
 #: Pairs of tokens of which a worker remembers whether they may stand side by side.
-FITS = 300_000
+FITS = 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
