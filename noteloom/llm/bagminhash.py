@@ -216,7 +216,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: A text meets so many others at a time, and two blocks of about TILE texts of a bucket make one group of the pair join.
-CHUNK, TILE = 512, 256
+CHUNK, TILE = 128, 256
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
