@@ -87,6 +87,14 @@ def synonym_map(vocab: DataFrame) -> DataFrame:
     return s.select(X.drug_norm(F.col("s")).alias("synonym"), "label").where("synonym <> ''").groupBy("synonym").agg(F.min("label").alias("label"))
 
 
+def left_join_nonblank(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on a text key that null and blank keys, often many, do not take part in: they would all meet in one task."""
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
+    met = rows.where(~blank).join(right, key, "left")
+    return met.unionByName(rows.where(blank).select("*", *more))
+
+
 def normalization_ladder(mentions: DataFrame, aliases: DataFrame, vocab: DataFrame) -> DataFrame:
     """Each mention's surface form, lexical form, alias result and safe decomposition.
 
@@ -94,8 +102,8 @@ def normalization_ladder(mentions: DataFrame, aliases: DataFrame, vocab: DataFra
     """
     am, sm = alias_map(aliases), synonym_map(vocab)
     m = mentions.withColumn("a1", X.surface(F.col("raw"))).withColumn("a2", X.drug_norm(F.col("raw")))
-    m = m.join(am.withColumnRenamed("alias", "a2"), "a2", "left").withColumn("a3", F.coalesce("canonical", "a2")).drop("canonical")
-    m = m.join(sm.withColumnRenamed("synonym", "a3"), "a3", "left").withColumn("vocab_label", F.coalesce("label", F.lit(""))).drop("label")
+    m = left_join_nonblank(m, am.withColumnRenamed("alias", "a2"), "a2").withColumn("a3", F.coalesce("canonical", "a2")).drop("canonical")
+    m = left_join_nonblank(m, sm.withColumnRenamed("synonym", "a3"), "a3").withColumn("vocab_label", F.coalesce("label", F.lit(""))).drop("label")
     term = X.drug_norm(F.col("a3"))
     parts = F.filter(F.transform(F.split(term, r"(?U)\s*(?:/|\+|plus|and|with)\s*"), X.strip), lambda p: p != "")
     m = m.withColumn("term", term).withColumn("parts", F.when(term.rlike("/| \\+ | plus | and | with "), parts).otherwise(F.array().cast("array<string>")))
@@ -117,7 +125,7 @@ def outer_alignment(truth: DataFrame, seeds: DataFrame) -> DataFrame:
     unit = s.where("unit_id <> ''").groupBy("unit_id").agg(F.max("ord").alias("o1"))
     span = s.groupBy("note_id", "span_id", "norm").agg(F.min("ord").alias("o2"), F.count("*").alias("n2"))
     note = s.groupBy("note_id", "norm").agg(F.min("ord").alias("o3"), F.count("*").alias("n3"))
-    j = t.join(unit, "unit_id", "left").join(span, ["note_id", "span_id", "norm"], "left").join(note, ["note_id", "norm"], "left")
+    j = left_join_nonblank(t, unit, "unit_id").join(span, ["note_id", "span_id", "norm"], "left").join(note, ["note_id", "norm"], "left")
     method = (
         F.when(F.col("o1").isNotNull(), "adjudication_unit_id")
         .when(F.col("n2") == 1, "note_span_mention").when(F.col("n2") > 1, "note_span_mention_multi")
@@ -140,6 +148,13 @@ def prf(df: DataFrame, *keys: str) -> DataFrame:
     return g.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def slices(aligned: DataFrame, dimensions: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Metrics of alignment rows for each value of each dimension, whose table has the key once; unknown where a row has none."""
+    own = aligned.join(dimensions.select(key, *names), key, "left")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.coalesce(F.col(n), F.lit("unknown")).alias("slice")) for n in names]))
+    return prf(own.select("alignment_status", each.alias("x")).select("alignment_status", "x.*"), "dimension", "slice")
+
+
 def apply_patch(rows: DataFrame, decisions: DataFrame, fields: list[str]) -> DataFrame:
     """Review decisions by unit id: drop_row deletes, the others overwrite the given fields; the last decision counts."""
     last = decisions.groupBy("unit_id").agg(F.max_by(F.struct("review_action", *[F.col(f) for f in fields]), "ord").alias("d"), F.max(F.when(F.col("review_action") == "drop_row", True).otherwise(False)).alias("dropped"))

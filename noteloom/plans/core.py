@@ -234,13 +234,6 @@ def candidate_spans(spark, sf):
     return R.keep_first(h, ["note_id", "span", "category"], F.col("span_begin")).select("note_id", "category", "match", "span_begin", "span")
 
 
-@query(rf"""WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9'']+', ' ', 'g'), ' ')) AS g FROM documents WHERE contains(lower(text), 'license'))
-SELECT g AS ngram, count(*) AS n FROM w WHERE length(g) >= 2 AND g NOT IN ('license') GROUP BY g HAVING count(*) >= 3""")
-def discovered_terms(spark, sf):
-    t = _notes(spark, sf).where(F.lower("note_text").contains("license")).select(F.explode(F.regexp_extract_all(F.lower("note_text"), F.lit("[a-z0-9']+"), 0)).alias("ngram"))
-    return t.where("length(ngram) >= 2 and ngram <> 'license'").groupBy("ngram").agg(F.count("*").alias("n")).where("n >= 3")
-
-
 # structured records and concordance
 
 _EHR = f"ehr AS ({duck(roles.EHR)})"
@@ -255,9 +248,7 @@ SELECT person_id, visit_id, array_to_string(list_sort(list(DISTINCT lower(drug))
 def ehr_by_visit(spark, sf):
     e = _ehr(spark, sf)
     kinds = [("drug", "drugs"), ("condition", "conditions"), ("measurement", "measurements"), ("proc", "procedures")]
-    long = e.select("person_id", "visit_id", F.explode(F.array(*[F.struct(F.lit(b).alias("domain"), X.clean(F.col(a)).alias("term")) for a, b in kinds])).alias("x")).select("person_id", "visit_id", "x.domain", "x.term")
-    sets = [F.array_join(F.array_sort(F.collect_set(F.when(F.col("domain") == b, F.col("term")))), "|").alias(b) for _, b in kinds]
-    return long.groupBy("person_id", "visit_id").agg(*sets)
+    return e.groupBy("person_id", "visit_id").agg(*[F.array_join(F.array_sort(F.collect_set(X.clean(F.col(a)))), "|").alias(b) for a, b in kinds])
 
 
 @query("SELECT o_custkey AS person_id, o_orderkey AS visit_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS rank FROM orders")
@@ -328,9 +319,15 @@ def extraction_prf(spark, sf):
     return R.prf(_aligned(spark, sf))
 
 
-@query(_ALIGN + f"SELECT *, {_PRF} FROM (SELECT note_id % 6 AS slice, {_COUNTS} FROM al GROUP BY 1)")
+@query(_ALIGN + f""", nn AS ({duck(roles.NOTES)}), per AS (SELECT visit_id, count(*) AS k FROM nn GROUP BY 1), d AS (SELECT n.note_id, note_title, CASE WHEN k <= 4 THEN 'few' ELSE 'many' END AS visit_size, CASE WHEN length(note_text) < 300 THEN 'lt_300' WHEN length(note_text) < 1500 THEN '300_1500' ELSE 'ge_1500' END AS chars FROM nn n JOIN per USING (visit_id)),
+e AS (SELECT al.*, note_title, visit_size, chars FROM al LEFT JOIN d ON al.note_id = d.note_id), dims AS (SELECT *, unnest(['note_title', 'visit_size', 'note_length']) AS dimension, coalesce(unnest([note_title, visit_size, chars]), 'unknown') AS slice FROM e)
+SELECT *, {_PRF} FROM (SELECT dimension, slice, {_COUNTS} FROM dims GROUP BY 1, 2)""")
 def slice_metrics(spark, sf):
-    return R.prf(_aligned(spark, sf).withColumn("slice", F.col("note_id") % 6), "slice")
+    n = role(spark, sf, roles.NOTES)
+    size = F.when(F.count("*").over(Window.partitionBy("visit_id")) <= 4, "few").otherwise("many")
+    chars = F.when(F.length("note_text") < 300, "lt_300").when(F.length("note_text") < 1500, "300_1500").otherwise("ge_1500")
+    d = n.select("note_id", "note_title", size.alias("visit_size"), chars.alias("note_length"))
+    return R.slices(_aligned(spark, sf), d, "note_id", ["note_title", "visit_size", "note_length"])
 
 
 _STATUS = "[" + ", ".join(f"'{s}'" for s in X.STATUSES) + "]"
@@ -383,12 +380,6 @@ def calibration_bands(spark, sf):
     return g.select("band_min", "band_max", "n", "accepted_n", F.coalesce(F.try_divide("ok", "accepted_n"), F.lit(0.0)).alias("accepted_precision"), F.coalesce(F.try_divide("accepted_n", "n"), F.lit(0.0)).alias("coverage"))
 
 
-@query(f"WITH s AS ({duck(roles.SCORES)}) SELECT kind, CASE WHEN correct AND accepted THEN 'recovered' WHEN accepted THEN 'false_link' WHEN NOT accepted AND correct THEN 'abstained' ELSE 'missed' END AS bucket, count(*) AS n FROM s GROUP BY 1, 2")
-def error_buckets(spark, sf):
-    b = F.when(F.col("correct") & F.col("accepted"), "recovered").when(F.col("accepted"), "false_link").when(F.col("correct"), "abstained").otherwise("missed")
-    return role(spark, sf, roles.SCORES).groupBy("kind", b.alias("bucket")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH s AS ({duck(roles.SCORES)}), q AS (SELECT quantile_cont(score::DOUBLE, 0.9) AS p90 FROM s) SELECT id, CASE WHEN score::DOUBLE >= (SELECT p90 FROM q) THEN 'A' WHEN kind = 'click' THEN 'B' ELSE 'C' END AS priority FROM s WHERE NOT correct""")
 def review_priority(spark, sf):
     s = role(spark, sf, roles.SCORES).withColumn("score", F.col("score").cast("double"))
@@ -437,9 +428,9 @@ def tfidf_top1(spark, sf):
     return R.tfidf_best(m, p.select(F.col("p_name").alias("label")).distinct()).select("mention", "label")
 
 
-@query("SELECT doc_id, quality FROM labels WHERE quality NOT IN (0)")
+@query("SELECT lower(event_type) AS value, count(*) AS n FROM events WHERE lower(event_type) NOT IN ('click', 'view') GROUP BY 1")
 def enum_violations(spark, sf):
-    return spark.read.parquet(f"{sf}/labels.parquet").where("quality not in (0)").select("doc_id", "quality")
+    return R.unexpected_values(spark.read.parquet(f"{sf}/events.parquet"), "event_type", ("click", "view"))
 
 
 @query("SELECT c_custkey, regexp_replace(c_custkey || '.0', '\\.0+$', '') AS sid, c_custkey AS nid FROM customer")
