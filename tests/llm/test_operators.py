@@ -12,8 +12,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from noteloom.llm import bagminhash, bpe, brown_lm, embed_dedup, graph, gru_lid, html_extract, license_scan, media_cdc, mixing, queries, url_filter
+from noteloom.llm import bagminhash, bpe, brown_lm, common, embed_dedup, graph, gru_lid, html_extract, license_scan, media_cdc, mixing, queries, url_filter
+from noteloom.llm.common import join_one, stash
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, u long, v long, same string, n long, size long, key string, score double, words string"
@@ -55,6 +57,36 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def test_hot_keys_meet_their_row_once(spark, monkeypatch):
+    """join_one against a plain join, with hot keys broadcast, too many of them, and none; null keys meet nothing."""
+    many = spark.createDataFrame([(k, i) for i in range(40) for k in ("hot", f"k{i % 7}", None)], "k string, i long")
+    one = many.groupBy("k").count().withColumnRenamed("count", "n").withColumn("x", F.length("k").cast("long"))
+    one = stash(one.unionByName(spark.createDataFrame([("alone", 0, 5)], "k string, n long, x long")), "test")
+    for how in ("inner", "left"):
+        want = sorted(map(str, many.join(one.drop("n"), "k", how).collect()))
+        for hot, keys in ((1000, 10), (5, 10), (5, 1), (0, 100), (0, 3)):
+            got = join_one(many, one, "k", "n", keys=keys, hot=hot, how=how)
+            assert got.columns == ["k", "i", "x"] and sorted(map(str, got.collect())) == want
+
+
+def test_operators_on_hot_keys(spark, monkeypatch):
+    """A third of all rows in one group of copies, one bucket, one hub, one vector, one source and id: the same results."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(bagminhash, "CHUNK", 4)
+    monkeypatch.setattr(bagminhash, "TILE", 4)
+    monkeypatch.setattr(common.join_one, "__defaults__", (common.HOT_KEYS, 3, "inner"))
+    base = " ".join(f"word{i}" for i in range(60))
+    near = [base + f" end{i}" for i in range(30)]
+    rows = [(i, base, "en", "a") for i in range(30)] + [(100 + i, t, "en", "a") for i, t in enumerate(near)] + [(200 + i, f"text {i} " + " ".join(f"v{i}x{j}" for j in range(20)), "en", "b") for i in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in bagminhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: 0 if i < 200 else i for i, *_ in rows}
+    star = spark.createDataFrame([(0, i) for i in range(1, 50)] + [(60, 61), (61, 62)], "u long, v long")
+    assert {r["node"]: r["component"] for r in graph.components(star).collect()} == {**dict.fromkeys(range(50), 0), 60: 60, 61: 60, 62: 60}
+    vec = spark.createDataFrame([(i, [1.0, 0.0, 0.0]) for i in range(20)] + [(20, [0.0, 1.0, 0.0]), (21, None), (22, [1.0, 0.1, 0.0])], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_links(vec, "vec_id", "embedding", 0.95).collect()}
+    assert got == {**{i: (20, 0) for i in range(20)}, 20: (0, 20), 21: (0, 21), 22: (20, 0)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
