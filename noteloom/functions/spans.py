@@ -23,10 +23,33 @@ def matches(text: Column, pattern: str) -> Column:
     return F.filter(made, lambda x: x["match"].isNotNull())
 
 
+#: Arrays built by appending are built in pieces of this size: appending to one long array copies it each time.
+_PIECE = 256
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _sums_from(steps: Column, start: Column) -> Column:
+    one = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(steps, one, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out")), lambda a: a["out"])
+
+
 def _running(steps: Column) -> Column:
-    """Running sums of an array of lengths."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(steps, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out")), lambda a: a["out"])
+    """Running sums of an array of lengths: sums of pieces first, then each piece from the sum in front of it."""
+
+    def by_pieces(s: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(s) / _PIECE).cast("int") - 1, F.lit(0))
+        pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(s, i * _PIECE + 1, _PIECE))
+        return _let(pieces, lambda p: F.flatten(F.zip_with(p, F.slice(starts(p), 1, F.size(p)), _sums_from)))
+
+    def starts(p: Column) -> Column:
+        whole = F.transform(p, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
+        return F.concat(F.array(F.lit(0)), _sums_from(whole, F.lit(0)))
+
+    return _let(steps, by_pieces)
 
 
 def sentences(text: Column) -> Column:
@@ -34,14 +57,8 @@ def sentences(text: Column) -> Column:
     cut = r"(?U)(?<=[.!?])\s+|\n+"
     gaps = F.transform(F.split(text, cut, -1), F.length)
     seps = F.concat(F.transform(F.regexp_extract_all(text, F.lit(cut), 0), F.length), F.array(F.lit(0)))
-    pairs = F.arrays_zip(gaps.alias("g"), seps.alias("s"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        e = acc["at"] + x["g"] + x["s"]
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("begin"), e.alias("end"))).alias("out"))
-
-    cuts = F.aggregate(pairs, start, step, lambda a: a["out"])
+    lengths = F.zip_with(gaps, seps, lambda g, n: g + n)
+    cuts = _let(lengths, lambda n: F.zip_with(_running(n), n, lambda e, x: F.struct((e - x).alias("begin"), e.alias("end"))))
     kept = F.filter(cuts, lambda s: s["end"] > s["begin"])
     return F.when(F.size(kept) == 0, F.array(F.struct(F.lit(0).alias("begin"), F.length(text).alias("end")))).otherwise(kept)
 
@@ -49,8 +66,16 @@ def sentences(text: Column) -> Column:
 def leftmost_longest(found: Column) -> Column:
     """Matches that do not overlap: by start, longer first, then pattern order."""
     ordered = F.array_sort(F.transform(found, lambda m: F.struct(m["begin"].alias("begin"), (-m["end"]).alias("neg_end"), m["ord"].alias("ord"), m["category"].alias("category"), m["match"].alias("match"))))
-    empty = F.array().cast("array<struct<begin:int,neg_end:int,ord:int,category:string,match:string>>")
-    return F.aggregate(ordered, empty, lambda acc, m: F.when((F.size(acc) == 0) | (m["begin"] >= -F.element_at(acc, -1)["neg_end"]), F.array_append(acc, m)).otherwise(acc))
+    kept = "array<struct<begin:int,neg_end:int,ord:int,category:string,match:string>>"
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{kept}>").alias("done"), F.array().cast(kept).alias("piece"))
+
+    def step(acc: Column, m: Column) -> Column:
+        full = F.size(acc["piece"]) >= _PIECE
+        done = F.when(full, F.array_append(acc["done"], acc["piece"])).otherwise(acc["done"])
+        piece = F.when(full, F.array(m)).otherwise(F.array_append(acc["piece"], m))
+        return F.when(m["begin"] >= acc["end"], F.struct((-m["neg_end"]).alias("end"), done.alias("done"), piece.alias("piece"))).otherwise(acc)
+
+    return F.aggregate(ordered, start, step, lambda a: F.flatten(F.array_append(a["done"], a["piece"])))
 
 
 def span_text(text: Column, cuts: Column, begin: Column, end: Column) -> Column:
