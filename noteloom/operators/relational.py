@@ -189,24 +189,28 @@ def char_grams(c: Column) -> Column:
     return F.concat(grams(3), grams(4))
 
 
-def tfidf_scores(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(mention, label, score): positive TF-IDF cosines over character grams of distinct mentions and concepts.
+def tfidf_scores(mentions: DataFrame, concepts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, mention, label, score): positive TF-IDF cosines over character grams of distinct mentions and concepts.
 
-    idf = ln((1 + N) / (1 + df)) + 1 over the concepts, 1 for grams they lack. Only pairs with a common gram meet.
+    idf = ln((1 + N) / (1 + df)) + 1 over the concepts, 1 for grams they lack. Only pairs with a common gram meet. With
+    `by` each group is fitted and scored by itself.
     """
-    n = concepts.select(F.count("*").alias("total"))
-    cg = concepts.select("label", F.explode(char_grams(F.col("label"))).alias("gram")).groupBy("label", "gram").agg(F.count("*").alias("tf"))
-    idf = cg.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    cw = cg.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    cn = cw.groupBy("label").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("cn"))
-    mg = mentions.select("mention").distinct().select("mention", F.explode(char_grams(F.col("mention"))).alias("gram")).groupBy("mention", "gram").agg(F.count("*").alias("mtf"))
-    mw = mg.join(idf, "gram", "left").withColumn("mw", F.col("mtf") * F.coalesce("idf", F.lit(1.0)))
-    mn = mw.groupBy("mention").agg(F.sqrt(F.sum(F.col("mw") * F.col("mw"))).alias("mn"))
-    dots = mw.join(cw.select("label", "gram", "w"), "gram").groupBy("mention", "label").agg(F.sum(F.col("mw") * F.col("w")).alias("dot"))
-    return dots.join(cn, "label").join(mn, "mention").select("mention", "label", (F.col("dot") / (F.col("mn") * F.col("cn"))).alias("score")).where("score > 0")
-
-
-def tfidf_best(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
+    n = concepts.groupBy(*by).agg(F.count("*").alias("total"))
+    grams = lambda t, c, tf: t.select(*by, c, F.explode(char_grams(F.col(c))).alias("gram")).groupBy(*by, c, "gram").agg(F.count("*").alias(tf))
+    cg = grams(concepts, "label", "tf")
+    df = cg.groupBy(*by, "gram").agg(F.count("*").alias("df"))
+    df = df.join(n, [*by]) if by else df.crossJoin(F.broadcast(n))
+    idf = df.select(*by, "gram", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    cw = cg.join(idf, [*by, "gram"]).withColumn("w", F.col("tf") * F.col("idf"))
+    cn = cw.groupBy(*by, "label").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("cn"))
+    mg = grams(mentions.select(*by, "mention").distinct(), "mention", "mtf")
+    mw = mg.join(idf, [*by, "gram"], "left").withColumn("mw", F.col("mtf") * F.coalesce("idf", F.lit(1.0)))
+    mn = mw.groupBy(*by, "mention").agg(F.sqrt(F.sum(F.col("mw") * F.col("mw"))).alias("mn"))
+    dots = mw.join(cw.select(*by, "label", "gram", "w"), [*by, "gram"]).groupBy(*by, "mention", "label").agg(F.sum(F.col("mw") * F.col("w")).alias("dot"))
+    return dots.join(cn, [*by, "label"]).join(mn, [*by, "mention"]).select(*by, "mention", "label", (F.col("dot") / (F.col("mn") * F.col("cn"))).alias("score")).where("score > 0")
+
+
+def tfidf_best(mentions: DataFrame, concepts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The concept of largest score for each mention; ties to the smaller label."""
-    best = tfidf_scores(mentions, concepts).groupBy("mention").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "label")).alias("b"))
-    return best.select("mention", "b.label", (-F.col("b.s")).alias("score"))
+    best = tfidf_scores(mentions, concepts, by).groupBy(*by, "mention").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "label")).alias("b"))
+    return best.select(*by, "mention", "b.label", (-F.col("b.s")).alias("score"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules below noteloom.plans that register queries.
-MODULES: tuple[str, ...] = ("core", "linking", "review", "evaluation")
+MODULES: tuple[str, ...] = ("core", "linking", "review", "evaluation", "reports")
 
 
 def _registered():
