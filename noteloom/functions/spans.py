@@ -14,9 +14,17 @@ def phrase_pattern(terms: list[str]) -> str:
     return rf"(?iU)(?<!\w)(?:{body})(?!\w)"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def target_pattern(term: Column) -> Column:
+    """The pattern of one term that each row brings, taken literally; null for none or a blank one."""
+    t = F.trim(term)
+    quoted = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    return F.when(t != "", quoted)
+
+
+def matches(text: Column, pattern: str | Column) -> Column:
     """array<struct<begin, end, match>> of all matches: what lies between them and they themselves, summed up."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     ends = _running(F.zip_with(gaps, F.transform(found, F.length), lambda g, n: g + F.coalesce(n, F.lit(0))))
     made = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("begin"), e.alias("end"), m.alias("match")))

@@ -58,8 +58,8 @@ def quotas(counts: dict[str, int], n: int) -> dict[str, int]:
         return dict(counts)
     out = {k: max(1, int(n * c / total)) for k, c in counts.items()}
     while sum(out.values()) > n:
-        out[max((k for k in out if out[k] > 1), key=lambda k: (out[k], k))] -= 1
-    spare = sorted(counts, key=lambda k: (-counts[k], k))
+        out[max((k for k in out if out[k] > 1), key=lambda k: (out[k], k is not None, k))] -= 1
+    spare = sorted(counts, key=lambda k: (-counts[k], k is not None, k))
     while sum(out.values()) < n:
         k = next(k for k in spare if out[k] < counts[k])
         out[k] += 1
@@ -67,12 +67,13 @@ def quotas(counts: dict[str, int], n: int) -> dict[str, int]:
 
 
 def stratified_sample(df: DataFrame, stratum: str, row_id: str, n: int, seed: str) -> DataFrame:
-    """n rows in proportion to the strata; the quotas come from one small count per stratum."""
-    got = quotas({r[0]: r[1] for r in df.groupBy(stratum).count().collect()}, n)
-    q = df.sparkSession.createDataFrame(list(got.items()), f"{stratum} string, quota int")
+    """n rows in proportion to the strata, null being one; the quotas come from one count per stratum, of which there are n at most."""
+    counts = df.groupBy(stratum).count().limit(n + 1).collect()
+    got = quotas({r[0]: r[1] for r in counts}, n)
+    q = df.sparkSession.createDataFrame(list(got.items()), f"_stratum {df.schema[stratum].dataType.simpleString()}, quota long")
     h = F.sha1(F.concat(F.lit(seed), F.col(row_id).cast("string")))
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(h, F.col(row_id))))
-    return ranked.join(F.broadcast(q), stratum).where("_r <= quota").drop("_r", "quota")
+    return ranked.join(F.broadcast(q), F.col(stratum).eqNullSafe(F.col("_stratum"))).where("_r <= quota").drop("_r", "_stratum", "quota")
 
 
 def alias_map(aliases: DataFrame) -> DataFrame:

@@ -176,7 +176,9 @@ def patient_cap(spark, sf):
     return R.cap_per_key(_notes(spark, sf), "person_id", "note_id", 3, "s").select("note_id", "person_id")
 
 
-@query(None)
+@query(f"""WITH {_NOTES}, c AS (SELECT note_title, count(*) AS c, sum(count(*)) OVER () AS total FROM notes GROUP BY 1), q AS (SELECT note_title, c, CASE WHEN total <= 100 THEN c ELSE greatest(1, c * 100 // total) END AS q, least(total, 100) AS n FROM c),
+s AS (SELECT note_title, q, n - sum(q) OVER () AS rest, c - q AS room, coalesce(sum(c - q) OVER (ORDER BY c DESC, note_title NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM q)
+SELECT note_id, note_title FROM (SELECT note_id, n.note_title, q + greatest(0, least(room, rest - taken)) AS quota, row_number() OVER (PARTITION BY n.note_title ORDER BY sha1('s' || note_id), note_id) AS r FROM notes n JOIN s ON n.note_title IS NOT DISTINCT FROM s.note_title) WHERE r <= quota""")
 def stratified_notes(spark, sf):
     return R.stratified_sample(_notes(spark, sf), "note_title", "note_id", 100, "s").select("note_id", "note_title")
 
@@ -224,7 +226,10 @@ def sentence_counts(spark, sf):
     return n
 
 
-@query(None)
+@query(rf"""WITH {_HITS}, t AS (SELECT note_id, regexp_replace(regexp_replace(note_text, '([.!?])(\s+)', '\1\2' || chr(1), 'g'), '([^\s' || chr(1) || ']|[ \t\r\f\v])(\n+)', '\1\2' || chr(1), 'g') AS x FROM notes),
+u AS (SELECT note_id, unnest(string_split(x, chr(1))) AS s, generate_subscripts(string_split(x, chr(1)), 1) AS i FROM t), cut AS (SELECT note_id, s, sum(length(s)) OVER (PARTITION BY note_id ORDER BY i) AS e FROM u),
+sp AS (SELECT h.*, trim(regexp_replace(s, '\s+', ' ', 'g')) AS span FROM hits h JOIN cut ON h.note_id = cut.note_id AND span_begin < e AND span_begin >= e - length(s))
+SELECT note_id, category, match, span_begin, span FROM (SELECT *, row_number() OVER (PARTITION BY note_id, span, category ORDER BY span_begin) AS r FROM sp WHERE length(span) > 15) WHERE r = 1""")
 def candidate_spans(spark, sf):
     # sentences are cut once for each note, below the step that makes a row for each match
     notes = _notes(spark, sf).select("note_id", "note_text", S.sentences(F.col("note_text")).alias("cuts"))
@@ -234,6 +239,16 @@ def candidate_spans(spark, sf):
     return R.keep_first(h, ["note_id", "span", "category"], F.col("span_begin")).select("note_id", "category", "match", "span_begin", "span")
 
 
+_TARGET = "(['" + "', '".join(t for t, _ in LEXICON) + f"', ''])[person_id % {len(LEXICON) + 1} + 1]"
+
+
+@query(f"WITH {_HITS} SELECT h.note_id, span_begin, span_end, match FROM hits h JOIN notes n ON h.note_id = n.note_id WHERE lower(match) = {_TARGET}")
+def target_hits(spark, sf):
+    target = F.element_at(F.array(*[F.lit(t) for t, _ in LEXICON], F.lit("")), (F.col("person_id") % (len(LEXICON) + 1) + 1).cast("int"))
+    n = _notes(spark, sf).select("note_id", F.explode(S.matches(F.col("note_text"), S.target_pattern(target))).alias("m"))
+    return n.select("note_id", F.col("m.begin").cast("long").alias("span_begin"), F.col("m.end").cast("long").alias("span_end"), F.col("m.match").alias("match"))
+
+
 # structured records and concordance
 
 _EHR = f"ehr AS ({duck(roles.EHR)})"

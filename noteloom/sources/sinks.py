@@ -96,3 +96,25 @@ def bar_svg(title: str, bars: list[tuple[str, float]], width: int = 640) -> str:
 def write_bars(df: DataFrame, label: str, value: str, title: str, path: str) -> None:
     rows = report_rows(df.select(F.col(label).cast("string"), F.col(value).cast("double")))
     put_text(df.sparkSession, path, bar_svg(title, [(r[0] or "", r[1] or 0.0) for r in rows]))
+
+
+def line_svg(title: str, lines: dict[str, list[tuple[float, float]]], width: int = 640, height: int = 360) -> str:
+    """One line for each series, x and y from the smallest to the largest value, names at the right."""
+    points = [p for line in lines.values() for p in line]
+    (x0, x1), (y0, y1) = ((min((p[i] for p in points), default=0.0), max((p[i] for p in points), default=1.0)) for i in (0, 1))
+    px = lambda x: 50 + (x - x0) / ((x1 - x0) or 1) * (width - 220)
+    py = lambda y: height - 40 - (y - y0) / ((y1 - y0) or 1) * (height - 90)
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-family="sans-serif" font-size="12">', f'<text x="8" y="20" font-size="15">{escape(title)}</text>']
+    out += [f'<text x="{px(x):.1f}" y="{height - 18}">{_cell(x)}</text>' for x in sorted({x0, x1})] + [f'<text x="4" y="{py(y):.1f}">{_cell(y)}</text>' for y in sorted({y0, y1})]
+    for i, (name, line) in enumerate(lines.items()):
+        color = f"hsl({210 + 75 * i} 45% 45%)"
+        path = " ".join(f"{px(x):.1f},{py(y):.1f}" for x, y in sorted(line))
+        out.append(f'<polyline points="{path}" fill="none" stroke="{color}" stroke-width="2"/><text x="{width - 160}" y="{44 + 18 * i}" fill="{color}">{escape(name)}</text>')
+    return "\n".join([*out, "</svg>"]) + "\n"
+
+
+def write_lines(df: DataFrame, series: str, x: str, y: str, title: str, path: str) -> None:
+    lines: dict[str, list[tuple[float, float]]] = {}
+    for name, a, b in report_rows(df.select(F.col(series).cast("string"), F.col(x).cast("double"), F.col(y).cast("double")).where(F.col(x).isNotNull() & F.col(y).isNotNull())):
+        lines.setdefault(name or "", []).append((a, b))
+    put_text(df.sparkSession, path, line_svg(title, lines))

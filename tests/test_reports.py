@@ -9,6 +9,7 @@ from noteloom.operators import relational as R
 from noteloom.operators import reports as P
 from noteloom.plans import roles
 from noteloom.sources import discovery as D
+from noteloom.sources import sinks as K
 from noteloom.sources import vocabularies as V
 
 
@@ -115,3 +116,18 @@ def test_reason_lists(spark, tmp_path):
     assert rows(V.adverse_events(spark, str(tmp_path / "e.csv"))) == [("Fatigue",), ("Nausea",)]
     (tmp_path / "f.csv").write_text("Code,Other\nabcd,z\n")
     assert rows(V.adverse_events(spark, str(tmp_path / "f.csv"))) == [("abcd",)]
+
+
+def test_strata_and_targets(spark):
+    d = spark.createDataFrame([(i, None if i % 10 == 0 else "a") for i in range(100)], "id int, s string")
+    assert rows(R.stratified_sample(d, "s", "id", 20, "x").groupBy("s").count()) == [("a", 18), (None, 2)]
+    t = spark.createDataFrame([("take A+B now, a+b.", " a+b "), ("x", ""), ("x", None), (r"a\Eb", r"a\Eb")], "t string, d string")
+    got = [r["m"] for r in t.select(S.matches(F.col("t"), S.target_pattern(F.col("d"))).alias("m")).collect()]
+    assert [m and [tuple(x) for x in m] for m in got] == [[(5, 8, "A+B"), (14, 17, "a+b")], None, None, [(0, 4, r"a\Eb")]]
+
+
+def test_lines(spark, tmp_path):
+    K.write_lines(spark.createDataFrame([("a", 0.1, 1.0), ("a", 0.2, None), ("b<", 0.5, 2.0)], "s string, x double, y double"), "s", "x", "y", "T & t", f"{tmp_path}/l.svg")
+    svg = (tmp_path / "l.svg").read_text()
+    assert svg.count("<polyline") == 2 and "b&lt;" in svg and "T &amp; t" in svg
+    assert "<svg" in K.line_svg("none", {})
