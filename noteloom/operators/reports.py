@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.functions import text as X
@@ -120,7 +120,8 @@ def top_counts(rows: DataFrame, col: str, k: int = 25) -> DataFrame:
 def shares(rows: DataFrame, col: str) -> DataFrame:
     """(value, n, share of all) for each value."""
     g = rows.groupBy(col).agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    total = rows.agg(F.count("*").alias("_total"))  # one row
+    return g.crossJoin(F.broadcast(total)).select(col, "n", F.round(F.col("n") / F.col("_total"), 6).alias("share"))
 
 
 def status_counts(rows: DataFrame, cols: list[str]) -> DataFrame:
