@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -19,6 +22,8 @@ OUT_OF_SCOPE = ("unclear", "reference_only", "reference_only_or_discussion_only"
 FALLBACK_LABELS = ("paclitaxel", "docetaxel", "pembrolizumab", "nivolumab")
 # End of the fixed values.
 
+MEMO = 100_000  # points that a worker remembers
+
 
 @F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -163,40 +168,93 @@ def band_calibration(bands: DataFrame) -> dict:
 
 
 def _points(norm: str, label: str, seed: tuple) -> float:
-    """How well a seed (unit, norm, canonical, drugs) fits a reviewed term."""
+    """How well a seed (norm, canonical, drugs) fits a reviewed term."""
 
     def shared(a: str, b: str) -> float:
         x, y = set(a.split()), set(b.split())
         return len(x & y) / len(x | y) if x | y else 1.0
 
-    _, m, canon, drugs = seed
+    m, canon, drugs = seed
     hits = ((m == norm, 5), (bool(canon) and canon == label, 4), (norm in drugs, 6), (label in drugs, 5), (len(norm) >= 4 and norm in m, 1), (len(m) >= 4 and m in norm, 1))
     return sum(p for ok, p in hits if ok) + (shared(m, norm) if m else 0) + max((shared(d, norm) for d in drugs), default=0)
 
 
+def _assign(batches):
+    """Units for the reviewed terms of Arrow batches sorted by note, a note's seeds before its terms; a note may go on in the next batch."""
+    memo: dict = {}
+    kept, code, last = 0, None, ()
+    groups, units, used = {}, [], set()  # of one note: places of seeds by what they say, their units, those that are taken
+    for b in batches:
+        if not b.num_rows:
+            continue
+        notes = b.column("note_id")
+        codes = notes.dictionary_encode(null_encoding="encode").indices.to_pylist()
+        now = notes[0].as_py()
+        code = codes[0] if last and (last[0] == now or last[0] != last[0] and now != now) else None
+        last = (notes[-1].as_py(),)
+        norms, labels, ids = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("norm", "label", "unit_id"))
+        drugs = b.column("drugs")
+        drugs = [None] * len(codes) if drugs.null_count == len(codes) else drugs.to_pylist()
+        is_seed = b.column("_seed")
+        out = []
+        for c, seed, norm, label, unit, d in zip(codes, is_seed.to_pylist(), norms, labels, ids, drugs):
+            if c != code:
+                code, groups, units, used = c, {}, [], set()
+            if seed:
+                says = (norm or "", label or "", tuple(d or ()))
+                if says in groups:
+                    groups[says].append(len(units))
+                else:
+                    groups[says] = deque((len(units),))
+                units.append(unit)
+                continue
+            points = memo.get((norm, label))
+            if points is None:
+                points = memo[norm, label] = {}
+            most, best, first, gone = 1, None, None, []
+            for says, places in groups.items():
+                while places and units[places[0]] in used:
+                    places.popleft()
+                if not places:
+                    gone.append(says)
+                    continue
+                x = places[0]
+                if first is None or x < first:
+                    first = x
+                n = points.get(says)
+                if n is None:
+                    n = points[says] = _points(norm, label, says)
+                    kept += 1
+                if n > most or n == most and (best is None or x < best):
+                    most, best = n, x
+            for says in gone:
+                del groups[says]
+            best = first if best is None else best
+            out.append(None if best is None else units[best])
+            if best is not None:
+                used.add(units[best])
+            if kept > MEMO:
+                memo, kept = {}, 0
+        terms = b.filter(pc.invert(is_seed))
+        yield pa.RecordBatch.from_arrays([*[terms.column(c) for c in ("note_id", "pos", "norm", "label")], pa.array(out, pa.string())], ["note_id", "pos", "norm", "label", "unit_id"])
+
+
 def assign_greedy(truth: DataFrame, seeds: DataFrame) -> DataFrame:
     """(note_id, pos, norm, label, unit_id, matched): each reviewed term of a note takes its best unused seed.
 
     truth: note_id, pos, norm, label; seeds: note_id, ord, unit_id, norm, canonical, drugs (array). Terms choose in
     order of pos; the best seed has one point or more, the first of equals wins; else the first unused seed is taken;
-    without one unit_id is made from note, place and label. Notes are independent: one task sees one note at a time.
+    without one unit_id is made from note, place and label. Seeds of one ord go by unit, norm and canonical, terms of one
+    pos by norm and label. Notes are independent: one task sees a note whole, its seeds first, and keeps only those;
+    seeds that say the same are looked at once.
     """
-
-    def assign(key: tuple, t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        free = [(r.unit_id, r.norm or "", r.canonical or "", {d for d in (r.drugs if r.drugs is not None else ()) if d}) for r in s.sort_values("ord").itertuples()]
-        out = []
-        for r in t.sort_values(["pos", "norm"]).itertuples():
-            points = [_points(r.norm, r.label, x) for x in free]
-            best = max(range(len(free)), key=lambda i: (points[i], -i), default=None)
-            if best is not None and points[best] < 1:
-                best = 0
-            unit = free[best][0] if best is not None else None
-            free = [x for x in free if x[0] != unit]
-            out.append((r.note_id, r.pos, r.norm, r.label, unit))
-        return pd.DataFrame(out, columns=["note_id", "pos", "norm", "label", "unit_id"])
-
     kind = truth.schema["note_id"].dataType.simpleString()
-    t, s = truth.select("note_id", "pos", "norm", "label").where("norm <> ''"), seeds.select(F.col("note_id").alias("_note"), "ord", "unit_id", "norm", "canonical", "drugs")
-    got = t.groupBy("note_id").cogroup(s.groupBy("_note")).applyInPandas(assign, f"note_id {kind}, pos int, norm string, label string, unit_id string")
+    said = F.filter("drugs", lambda d: d != "")
+    s = seeds.select("note_id", F.lit(True).alias("_seed"), "ord", F.lit(None).cast("int").alias("pos"), "norm", F.col("canonical").alias("label"), "unit_id", F.when(F.size(said) > 0, F.array_sort(F.array_distinct(said))).alias("drugs"))
+    none = lambda c: F.lit(None).cast(s.schema[c].dataType).alias(c)
+    t = truth.where("norm <> ''").select("note_id", F.lit(False).alias("_seed"), none("ord"), F.col("pos").cast("int").alias("pos"), "norm", "label", none("unit_id"), none("drugs"))
+    order = [F.desc("_seed"), F.asc_nulls_last("ord"), F.asc_nulls_last("pos")]
+    both = s.unionByName(t).repartition("note_id").sortWithinPartitions("note_id", *order, "unit_id", "norm", "label")
+    got = both.mapInArrow(_assign, f"note_id {kind}, pos int, norm string, label string, unit_id string")
     made = X.stable_id("adj_", F.col("note_id"), F.concat(F.lit("jsonl_truth_"), F.col("pos") + 1), F.col("label"))
     return got.select("note_id", "pos", "norm", "label", F.coalesce("unit_id", made).alias("unit_id"), F.col("unit_id").isNotNull().alias("matched"))

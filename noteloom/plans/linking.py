@@ -54,9 +54,9 @@ def link_universe(spark, sf):
 
 @query()
 def greedy_assignment(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet")
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", X.drug_norm(F.col("p_name")).alias("norm"))  # once a part, not once a line
     l = spark.read.parquet(f"{sf}/lineitem.parquet").join(p, F.col("l_partkey") == F.col("p_partkey"))
-    rows = l.select(F.col("l_orderkey").alias("note_id"), F.col("l_linenumber").cast("int").alias("pos"), X.drug_norm(F.col("p_name")).alias("norm"), F.col("l_partkey").alias("part"))
+    rows = l.select(F.col("l_orderkey").alias("note_id"), F.col("l_linenumber").cast("int").alias("pos"), "norm", F.col("l_partkey").alias("part"))
     truth = rows.withColumn("label", F.col("norm"))
     text = F.when(F.col("part") % 3 == 0, F.substring("norm", 1, 6)).otherwise(F.col("norm"))
     seeds = rows.where("pos <> 4").select("note_id", F.col("pos").cast("long").alias("ord"), F.concat(F.lit("u"), "note_id", F.lit("_"), "pos").alias("unit_id"), text.alias("norm"), text.alias("canonical"), F.array().cast("array<string>").alias("drugs"))

@@ -1,5 +1,6 @@
 """The scored linker and the greedy assignment against plain Python."""
 
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -87,3 +88,27 @@ def test_greedy_assignment_reads_every_line(spark, sf):
     got = linking.QUERIES["greedy_assignment"](spark, sf).groupBy("pos").agg(F.count("*").alias("n"), F.count_if("matched").alias("m")).collect()
     assert {r["pos"]: r["n"] for r in got} == {r["l_linenumber"]: r["count"] for r in lines.groupBy("l_linenumber").count().collect()}
     assert sum(r["m"] for r in got if r["pos"] > 4) > 0
+
+
+def test_assign_greedy_by_partitions(spark):
+    """Random notes, blank and unknown ids and one long note against the plain order of choice, without a Python group for each note."""
+    rng = random.Random(7)
+    words = ["iron", "zinc", "taxol", "kcl", "aspirin", "iron zinc", ""]
+    note = lambda: rng.choice([None, "", *map(str, range(40))])
+    truth = [(note(), rng.randrange(5), rng.choice(words), rng.choice(words[:-1])) for _ in range(400)] + [("long", i, f"{words[i % 6]} {i // 150}", "x") for i in range(700)]
+    seeds = [(n := note(), i, rng.choice([f"u{n}_{i % 7}", f"u{i}"]), rng.choice([*words, None]), rng.choice([*words, None]), rng.choice([None, [], rng.sample(words, 2)])) for i in range(400)] + [("long", 1000 + i, f"l{i}", f"{words[i % 6]} {i // 140}", None, None) for i in range(650)]
+    want = []
+    for n in {r[0] for r in truth}:
+        free = [(u, m or "", c or "", {d for d in g or () if d}) for k, _, u, m, c, g in sorted((s for s in seeds if s[0] == n), key=lambda s: s[1])]
+        for _, pos, norm, label in sorted((t for t in truth if t[0] == n and t[2]), key=lambda t: t[1:]):
+            points = [L._points(norm, label, x[1:]) for x in free]
+            best = max(range(len(free)), key=lambda i: (points[i], -i), default=None)
+            unit = free[0 if points[best] < 1 else best][0] if free else None
+            free = [x for x in free if x[0] != unit]
+            want.append((n, pos, norm, label, unit))
+    t = spark.createDataFrame(truth, "note_id string, pos int, norm string, label string")
+    s = spark.createDataFrame(seeds, "note_id string, ord long, unit_id string, norm string, canonical string, drugs array<string>")
+    df = L.assign_greedy(t, s)
+    assert "FlatMapCoGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [(r["note_id"], r["pos"], r["norm"], r["label"], r["unit_id"] if r["matched"] else None) for r in df.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
