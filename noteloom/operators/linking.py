@@ -182,16 +182,13 @@ def _points(norm: str, label: str, seed: tuple) -> float:
 def _assign(batches):
     """Units for the reviewed terms of Arrow batches sorted by note, a note's seeds before its terms; a note may go on in the next batch."""
     memo: dict = {}
-    kept, code, last = 0, None, ()
+    kept, code, last = 0, None, []
     groups, units, used = {}, [], set()  # of one note: places of seeds by what they say, their units, those that are taken
     for b in batches:
         if not b.num_rows:
             continue
-        notes = b.column("note_id")
-        codes = notes.dictionary_encode(null_encoding="encode").indices.to_pylist()
-        now = notes[0].as_py()
-        code = codes[0] if last and (last[0] == now or last[0] != last[0] and now != now) else None
-        last = (notes[-1].as_py(),)
+        codes, goes_on, last = R.key_codes(b.column("note_id"), last)
+        code = codes[0] if goes_on else None
         norms, labels, ids = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("norm", "label", "unit_id"))
         drugs = b.column("drugs")
         drugs = [None] * len(codes) if drugs.null_count == len(codes) else drugs.to_pylist()

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from array import array
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +31,9 @@ EXACT, EMBEDDED, OPEN = "path_a", "path_b_embedding_cpu", "path_a_unresolved"
 LOW_CONFIDENCE = 0.9
 # End of the fixed values.
 
+MEMO = 20_000  # terms whose grams a worker remembers
+WIDE = 64  # visits with more structured terms are scored by arrays
+
 
 def code_map(codes: DataFrame) -> DataFrame:
     """(code, text) of condition code lines (ord, value): codes with and without dots, the last line of a code counts."""
@@ -203,22 +214,116 @@ def iso_date(c: Column) -> Column:
     return F.date_format(F.try_to_timestamp(c.cast("string")), "yyyy-MM-dd")
 
 
+def _grams(term: str) -> list[tuple[str, int]]:
+    """relational.char_grams in Python, with how often each occurs."""
+    p = f" {term} "
+    return list(Counter([p[i : i + n] for n in (3, 4) for i in range(len(p) - n + 1)]).items())
+
+
+def _fitted(labels: list[str], grams) -> Callable[[str], tuple[str | None, float]]:
+    """The best of a visit's sorted distinct terms for another term, with its cosine to nine places; None where no gram is in common."""
+    n, wide = len(labels), len(labels) > WIDE
+    posts: dict = {}  # gram: places and counts
+    for j, label in enumerate(labels):
+        for g, tf in grams(label):
+            p = posts.get(g)
+            if p is None:
+                p = posts[g] = (array("q"), array("d")) if wide else ([], [])
+            p[0].append(j)
+            p[1].append(tf)
+    idfs = {d: math.log((1 + n) / (1 + d)) + 1 for d in {len(p[0]) for p in posts.values()}}
+    norms = np.zeros(n) if wide else [0.0] * n
+    for g, (js, tfs) in posts.items():
+        idf = idfs[len(js)]
+        if wide:
+            js, w = np.asarray(js), np.asarray(tfs) * idf
+            norms[js] += w * w
+        else:
+            w = [tf * idf for tf in tfs]
+            for j, x in zip(js, w):
+                norms[j] += x * x
+        posts[g] = idf, js, w
+
+    def best(term: str) -> tuple[str | None, float]:
+        own, dots, square = grams(term), np.zeros(n) if wide else {}, 0.0
+        for g, tf in own:
+            p = posts.get(g)
+            if p is None:
+                square += tf * tf
+                continue
+            idf, js, w = p
+            x = tf * idf
+            square += x * x
+            if wide:
+                dots[js] += x * w
+            else:
+                for j, y in zip(js, w):
+                    dots[j] = dots.get(j, 0.0) + x * y
+        if wide:
+            found = np.where(dots > 0, np.round(dots / np.sqrt(norms * square), 9), -1.0)
+            j = int(found.argmax())  # the first of equals
+            return (labels[j], float(found[j])) if found[j] >= 0 else (None, 0.0)
+        top, at = -1.0, None
+        for j, dot in dots.items():
+            s = round(dot / math.sqrt(norms[j] * square), 9)
+            if s > top or s == top and j < at:
+                top, at = s, j
+        return (None, 0.0) if at is None else (labels[at], top)
+
+    return best
+
+
+def _resolve(batches):
+    """Stage, best label and score of the note terms in Arrow batches sorted by visit, a visit's structured terms before them; a visit may go on in the next batch."""
+    grams = lru_cache(MEMO)(_grams)
+    code, last, labels, best, before = None, [], [], None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        codes, goes_on, last = R.key_codes(b.column("visit_id"), last)
+        code = codes[0] if goes_on else None
+        kept, stages, linked, scores = [], [], [], []
+        for c, own, term in zip(codes, b.column("_own").to_pylist(), b.column("term").to_numpy(zero_copy_only=False).tolist()):
+            if c != code:
+                code, labels, known, best, before = c, [], set(), None, None
+            if own:
+                kept.append(False)
+                if not labels or labels[-1] != term:
+                    labels.append(term)
+                continue
+            kept.append(term != before)
+            if term == before:
+                continue
+            before = term
+            if best is None and labels:
+                known, best = set(labels), _fitted(labels, grams)
+            if best is None:
+                stage, label, score = OPEN, None, 0.0
+            elif term in known:
+                stage, label, score = EXACT, term, 1.0
+            else:
+                stage, (label, score) = EMBEDDED, best(term)
+            stages.append(stage)
+            linked.append(label)
+            scores.append(score)
+        out = b.filter(pa.array(kept, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([out.column("visit_id"), out.column("term"), pa.array(stages, pa.string()), pa.array(linked, pa.string()), pa.array(scores, pa.float64())], ["visit_id", "term", "stage", "label", "_s"])
+
+
 def resolve_lists(note: DataFrame, ehr: DataFrame, threshold: float) -> DataFrame:
     """Each note term (visit_id, term) against the structured terms of its own visit: stage, linked_to, score, accepted, mapped.
 
     A term that the visit has is settled. Another goes to the visit's term of the largest TF-IDF cosine over character
     grams, fitted on the visit's terms, and is mapped to it from the threshold on; visits without structured terms leave
-    it as it is. Terms are taken once a visit; scores are rounded to nine places, ties go to the smaller.
+    it as it is. Terms are taken once a visit; scores are rounded to nine places, ties go to the smaller. Terms are dealt
+    by visit once, grams are not: one task sees a visit whole, its structured terms first, and keeps only those.
     """
-    n, e = note.select("visit_id", "term").where("term <> ''").distinct(), ehr.select("visit_id", F.col("term").alias("label")).where("label <> ''").distinct()
-    total = e.groupBy("visit_id").agg(F.count("*").alias("total"))
-    n = n.join(e.withColumnRenamed("label", "term").withColumn("_same", F.lit(True)), ["visit_id", "term"], "left").join(total, "visit_id", "left")
-    open_ = n.where("_same is null and total is not null").select("visit_id", F.col("term").alias("mention"))
-    best = R.tfidf_best(open_, e, ("visit_id",)).withColumnRenamed("mention", "term").withColumnRenamed("score", "_best")
-    out = n.join(best, ["visit_id", "term"], "left")
-    stage = F.when(F.col("_same"), EXACT).when(F.col("total").isNull(), OPEN).otherwise(EMBEDDED)
-    score = F.when(F.col("_same"), 1.0).otherwise(F.coalesce("_best", F.lit(0.0)))
-    out = out.select("visit_id", "term", stage.alias("stage"), F.when(F.col("_same"), F.col("term")).otherwise(F.coalesce("label", F.lit(""))).alias("linked_to"), F.round(score, 6).alias("score"), score.alias("_s"))
+    kind = note.schema["visit_id"].dataType.simpleString()
+    e = ehr.where("term <> '' and visit_id is not null").select(F.col("visit_id").cast(kind).alias("visit_id"), F.lit(True).alias("_own"), "term")
+    n = note.where("term <> ''").select("visit_id", F.lit(False).alias("_own"), "term")
+    both = e.unionByName(n).repartition("visit_id").sortWithinPartitions("visit_id", F.desc("_own"), "term")
+    out = both.mapInArrow(_resolve, f"visit_id {kind}, term string, stage string, label string, _s double")
+    out = out.select("visit_id", "term", "stage", F.coalesce("label", F.lit("")).alias("linked_to"), F.round("_s", 6).alias("score"), "_s")
     ok = (F.col("linked_to") != "") & (F.col("_s") >= threshold)
     return out.withColumn("accepted", ok).withColumn("mapped", F.when(ok, F.col("linked_to")).otherwise(F.col("term"))).drop("_s")
 

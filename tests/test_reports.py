@@ -1,5 +1,8 @@
 """Report tables, resolved lists, code maps and discovery on small tables, odd rows among them."""
 
+import collections
+import math
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -131,3 +134,32 @@ def test_lines(spark, tmp_path):
     svg = (tmp_path / "l.svg").read_text()
     assert svg.count("<polyline") == 2 and "b&lt;" in svg and "T &amp; t" in svg
     assert "<svg" in K.line_svg("none", {})
+
+
+def test_resolve_lists_deals_terms_once(spark):
+    """Random visits, one of them wide, against the TF-IDF scores by definition; grams are not shuffled."""
+    rng = random.Random(3)
+    term = lambda: "".join(rng.choice("abc é") for _ in range(rng.randrange(1, 7)))
+    visit = lambda: rng.choice([None, 1, 2, 3, 4, 900, 900, 900, 900])
+    note = [(visit(), rng.choice([term(), term(), "", None])) for _ in range(500)] + [(7, "abc"), (7, "abc"), (8, "zzzz")]
+    ehr = [(visit(), rng.choice([term(), term(), "", None])) for _ in range(400)] + [(8, "abc")]
+    grams = lambda t: collections.Counter(f" {t} "[i : i + n] for n in (3, 4) for i in range(len(t) + 3 - n))
+    want = []
+    for v, t in {r for r in note if r[1]}:
+        labels = sorted({u for w, u in ehr if u and w == v and v is not None})
+        df = collections.Counter(g for u in labels for g in grams(u))
+        df = {g: sum(g in grams(u) for u in labels) for g in df}
+        vec = lambda u: {g: n * (math.log((1 + len(labels)) / (1 + df[g])) + 1 if g in df else 1) for g, n in grams(u).items()}  # noqa: B023, E731
+        size = lambda x: math.sqrt(sum(y * y for y in x.values()))
+        m = vec(t)
+        best = min(((-round(sum(x * m.get(g, 0) for g, x in vec(u).items()) / size(m) / size(vec(u)), 9), u) for u in labels if any(g in m for g in grams(u))), default=(0.0, ""))
+        stage, best = ("path_a", (-1.0, t)) if t in labels else ("path_b_embedding_cpu" if labels else "path_a_unresolved", best)
+        ok = best[1] != "" and -best[0] >= 0.3
+        want.append((v, t, stage, best[1], ok, best[1] if ok else t))
+    assert len({u for w, u in ehr if u and w == 900}) > P.WIDE
+    t, e = (spark.createDataFrame(r, "visit_id int, term string") for r in (note, ehr))
+    got = P.resolve_lists(t, e, 0.3)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(rows(got.drop("score")), key=str) == sorted(want, key=str)
+    assert rows(P.resolve_lists(t, e.limit(0), 0.3).select("stage").distinct()) == [("path_a_unresolved",)]
+    assert rows(P.resolve_lists(t.limit(0), e, 0.3)) == []
