@@ -194,7 +194,7 @@ def _assign(batches):
         drugs = [None] * len(codes) if drugs.null_count == len(codes) else drugs.to_pylist()
         is_seed = b.column("_seed")
         out = []
-        for c, seed, norm, label, unit, d in zip(codes, is_seed.to_pylist(), norms, labels, ids, drugs):
+        for c, seed, norm, label, unit, d in zip(codes, is_seed.to_numpy(zero_copy_only=False).tolist(), norms, labels, ids, drugs):
             if c != code:
                 code, groups, units, used = c, {}, [], set()
             if seed:

@@ -221,4 +221,4 @@ def key_codes(keys, last: list) -> tuple[list[int], bool, list]:
     """Codes of an Arrow column of sorted keys, whether its first key is the one in `last`, and its last key as the next `last`; nulls are one key, NaNs another."""
     first = keys[0].as_py()
     goes_on = bool(last) and (last[0] == first or last[0] != last[0] and first != first)
-    return keys.dictionary_encode(null_encoding="encode").indices.to_pylist(), goes_on, [keys[-1].as_py()]
+    return keys.dictionary_encode(null_encoding="encode").indices.to_numpy().tolist(), goes_on, [keys[-1].as_py()]

@@ -283,7 +283,7 @@ def _resolve(batches):
         codes, goes_on, last = R.key_codes(b.column("visit_id"), last)
         code = codes[0] if goes_on else None
         kept, stages, linked, scores = [], [], [], []
-        for c, own, term in zip(codes, b.column("_own").to_pylist(), b.column("term").to_numpy(zero_copy_only=False).tolist()):
+        for c, own, term in zip(codes, b.column("_own").to_numpy(zero_copy_only=False).tolist(), b.column("term").to_numpy(zero_copy_only=False).tolist()):
             if c != code:
                 code, labels, known, best, before = c, [], set(), None, None
             if own:
